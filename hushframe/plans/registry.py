@@ -1,0 +1,7 @@
+"""The named queries over the reference operators, and their SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+FLAGSHIP = "blind_notes"
