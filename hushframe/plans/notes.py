@@ -1,0 +1,55 @@
+"""Notes made of the business tables, with known private values, in the same words for Spark and for SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+FIRST = ("Bob", "Mary", "Alex", "Nina", "Greg", "Lisa", "Kevin", "Sara")
+LAST = ("Calder", "Jones", "Rivera", "Patel", "Thompson", "Monroe", "Hartwell", "Kimball")
+ORGS = ("Smith Roofing", "Riverbend Dental", "Harbor Insurance", "Midland Lawn Services", "Birch Clinic", "Lantern Media")
+CITIES = ("Grand Rapids", "Detroit", "Saginaw", "Lansing", "Toledo")
+STATUSES = ("will not launch until billing is fixed", "only agreed verbally", "is unhappy with the invoice", "likes the work")
+MODELS = ("Claude", "Gemini", "Qwen", "Llama")
+
+
+
+
+def _pick(some: tuple[str, ...], shift: int = 0, *, duckdb: bool) -> str:
+    values = ", ".join(f"'{x}'" for x in some)
+    at = f"cast((c_custkey + {shift}) % {len(some)} as int) + 1"
+    return f"([{values}])[{at}]" if duckdb else f"element_at(array({values}), {at})"
+
+
+def notes_sql(*, duckdb: bool) -> str:
+    """SELECT of (note_id, person, org, budget, city, status, email, account, path, day, raw) over customer."""
+    pick = lambda some, shift=0: _pick(some, shift, duckdb=duckdb)
+    number = "cast(c_custkey as varchar)" if duckdb else "cast(c_custkey as string)"
+    amount = "cast(cast(floor(abs(c_acctbal)) as bigint) as varchar)" if duckdb else "cast(cast(floor(abs(c_acctbal)) as bigint) as string)"
+    month = f"lpad(cast(c_custkey % 12 + 1 as {'varchar' if duckdb else 'string'}), 2, '0')"
+    day = f"lpad(cast(c_custkey % 28 + 1 as {'varchar' if duckdb else 'string'}), 2, '0')"
+    year = f"cast(2024 + c_custkey % 6 as {'varchar' if duckdb else 'string'})"
+    return f"""SELECT *, concat(person, ' at ', org, ' ', status, '. Budget is $', budget, '/day in ', city, '. Mail ', email, ' about account ', account, ' by ', day, '. Files in ', path, '. Graded by ', model, ' and ', person, '.') AS raw
+FROM (SELECT c_custkey AS note_id, concat({pick(FIRST)}, ' ', {pick(LAST, 3)}) AS person, {pick(ORGS)} AS org, {amount} AS budget, {pick(CITIES)} AS city, {pick(STATUSES)} AS status,
+concat('user', {number}, '@example.test') AS email, concat('acct_', substr(md5({number}), 1, 12)) AS account, concat('/home/acme/n', {number}, '/brief.md') AS path, concat({year}, '-', {month}, '-', {day}) AS day, {pick(MODELS)} AS model FROM customer) n"""
+
+
+NOTES = f"notes AS ({notes_sql(duckdb=True)})"
+
+
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return spark.sql(notes_sql(duckdb=False).replace("FROM customer)", "FROM {customer})"), customer=customer)
+
+
+def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The notes as cases, each with its own values as canaries."""
+    planted = {"person": "person_name", "org": "business_name", "city": "location", "email": "email", "account": "account_id", "path": "file_path"}
+    return notes(spark, sf_dir).select(
+        F.col("note_id").alias("line_no"),
+        F.format_string("case_%06d", "note_id").alias("case_id"),
+        "raw",
+        F.array(*planted, F.concat(F.lit("$"), F.col("budget"), F.lit("/day"))).alias("canaries"),
+        F.array(*map(F.lit, [*planted.values(), "budget"])).alias("expected_field_types"),
+        F.array(F.lit("client context preserved")).alias("expected_semantics"),
+    )
