@@ -15,7 +15,9 @@ gives one line for each block.
 
 A host's merged tree is aggregated by path and digest, so a host with very many pages
 is never in one task; only paths of little entropy, at most a template's few, are
-brought back to the pages, by an equi-join on the host.
+brought back to the pages.  While these are small (their size is measured) they go to
+every task and pages are not moved; beyond that they are joined on the host and a salt,
+so that a host's pages are spread over ``SALTS`` keys.
 
 Defined results: a null or empty page has empty text; a page without an article is
 judged by entropy and names alone; paths seen in fewer than ``FEW`` places are kept
@@ -34,10 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hushframe.llm.shared import cut
 from hushframe.llm.url_filter import host_and_path
 
 LEAST = 0.3
 FEW = 4
+#: Bytes of paths up to which they are broadcast, and beyond that the keys that a host is spread over.
+BROADCAST_BYTES = 4 << 20
+SALTS = 64
 #: What an element's own presentation says counts as much as its entropy.
 OWN = 0.5
 
@@ -237,13 +243,24 @@ def merged_tree(pages: DataFrame) -> DataFrame:
     return low.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("path", "entropy"))).alias("paths"))
 
 
-def extract(pages: DataFrame, *, url: str = "url", page: str = "html") -> DataFrame:
+def with_paths(pages: DataFrame, low: DataFrame, most: int) -> DataFrame:
+    """The pages, by hushframe_host, and hushframe_paths, null for hosts without any."""
+    low = low.select(F.col("host").alias("hushframe_host"), F.col("paths").alias("hushframe_paths"))
+    entry_bytes = F.aggregate(F.map_keys("hushframe_paths"), F.lit(64).cast("long"), lambda a, k: a + F.octet_length(k) + 64)
+    size = low.agg(F.coalesce(F.sum(entry_bytes + F.octet_length("hushframe_host")), F.lit(0))).first()[0]
+    if size <= most:
+        return pages.join(F.broadcast(low), "hushframe_host", "left")
+    salted = pages.withColumn("hushframe_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    spread = low.withColumn("hushframe_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(spread, ["hushframe_host", "hushframe_salt"], "left").drop("hushframe_salt")
+
+
+def extract(pages: DataFrame, *, url: str = "url", page: str = "html", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The pages' columns without the markup, and hushframe_text string."""
     host = host_and_path(F.coalesce(F.col(f"`{url}`"), F.lit("")))[0]
     low = merged_tree(pages.select(host.alias("host"), F.col(f"`{page}`").alias("html")))
     names = [x for x in pages.columns if x != page]
-    keyed = pages.withColumn("hushframe_host", host)
-    joined = keyed.join(low.withColumnsRenamed({"host": "hushframe_host", "paths": "hushframe_paths"}), "hushframe_host", "left")
+    joined = with_paths(pages.withColumn("hushframe_host", host), cut(low, "low_entropy"), broadcast_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
