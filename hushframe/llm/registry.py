@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from hushframe.llm import decontaminate, order_minhash, quality_model, quality_rules, sentencepiece_codec, sharding, site_tree, substring_dedup, url_filter, warc
+from hushframe.llm.oracles import ORACLE_SQL  # noqa: F401
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -16,6 +17,3 @@ QUERIES = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
-ORACLE_SQL = {
-    "op1_url_filter": url_filter.OP1_SQL,
-}
