@@ -3,9 +3,10 @@
 Every page is parsed into a tree of block elements; an element's name is its tag with
 its classes, id and role.  Trees of one host are merged by path (the names from the
 root down): for every path the merged tree holds how often each presentation (the
-sequence of child names, repeats as one) and each content (text digest) occurred.
+sequence of child names, repeats as one) with its content (digest of the text in it)
+occurred.
 
-The importance of a node is the entropy of its presentations or contents, as a share
+The importance of a node is the entropy of its presentations and contents, as a share
 of the largest entropy that as many occurrences can have, mixed with what its own
 presentation says: an article is important whatever its entropy, an element that is a
 menu, advert, footer, form, notice, comment section and the like by its tag, role or
@@ -27,6 +28,7 @@ do in the common cases; repeated rows count as pages.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections import Counter
@@ -44,6 +46,8 @@ FEW = 4
 #: Bytes of paths up to which they are broadcast, and beyond that the keys that a host is spread over.
 BROADCAST_BYTES = 4 << 20
 SALTS = 64
+#: Elements deeper than this are text of the one above, as in browsers.
+DEPTH = 400
 #: What an element's own presentation says counts as much as its entropy.
 OWN = 0.5
 
@@ -131,6 +135,9 @@ def parse(page: str) -> Node:
                     break
                 if stack[i].tag in ("td", "th", "li", "div", "section", "article"):
                     break
+        if len(stack) > DEPTH:
+            stack[-1].parts.append(" ")
+            continue
         node = Node(tag, m.group(4))
         stack[-1].children.append(node)
         stack[-1].parts.append(node)
@@ -169,13 +176,20 @@ def has_article(node: Node) -> bool:
     return any((child.article and not child.aside) or has_article(child) for child in node.children)
 
 
-def occurrences(root: Node) -> Iterator[tuple[str, str]]:
-    """(path, presentation or content) of all nodes that carry text or children."""
-    stack = [(child, child.name) for child in root.children]
-    while stack:
-        node, path = stack.pop()
-        yield path, (presentation(node) if node.children else "") + "\n" + "\n".join(lines(node))
-        stack += [(child, f"{path}/{child.name}") for child in node.children]
+def occurrences(root: Node) -> Iterator[tuple[str, int]]:
+    """(path, digest) of all nodes: of a node's presentation, its own lines and its children's digests."""
+    found: list[tuple[str, int]] = []
+
+    def visit(node: Node, path: str) -> bytes:
+        below = [visit(child, f"{path}/{child.name}" if path else child.name) for child in node.children]
+        own = hashlib.blake2b(f"{presentation(node)}\n{chr(10).join(lines(node))}".encode("utf-8", "surrogatepass"), digest_size=8)
+        for digest in below:
+            own.update(digest)
+        found.append((path, int.from_bytes(own.digest(), "little", signed=True)))
+        return own.digest()
+
+    visit(root, "")
+    return iter(found[:-1])
 
 
 def importance(node: Node, entropy: float, in_article: bool, page_has_article: bool) -> float:
@@ -218,21 +232,14 @@ def merged_tree(pages: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from hushframe.llm.textbytes import RangeHash, np
-
         for batch in batches:
             total: Counter = Counter()
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 root = parse(page or "")
                 if not has_article(root):
-                    total.update((host, path, own) for path, own in occurrences(root))
+                    total.update((host, path, digest) for path, digest in occurrences(root))
             keys = list(total)
-            texts = [own.encode("utf-8", "surrogatepass") for _, _, own in keys]
-            buf = np.frombuffer(b"".join(texts) + b"\n", dtype=np.uint8)
-            ends = np.cumsum([len(x) for x in texts], dtype=np.int64)
-            begins = np.concatenate(([0], ends[:-1])) if len(ends) else ends
-            digests = RangeHash(buf).of(begins, ends).view(np.int64) if keys else np.empty(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], type=pa.string()), pa.array([k[1] for k in keys], type=pa.string()), pa.array(digests), pa.array([total[k] for k in keys], type=pa.int64())], names=["host", "path", "digest", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], type=pa.string()), pa.array([k[1] for k in keys], type=pa.string()), pa.array([k[2] for k in keys], type=pa.int64()), pa.array([total[k] for k in keys], type=pa.int64())], names=["host", "path", "digest", "n"])
 
     rows = pages.mapInArrow(run, "host string, path string, digest long, n long")
     each = rows.groupBy("host", "path", "digest").agg(F.sum("n").alias("n"))
