@@ -17,17 +17,16 @@ def components(links: DataFrame) -> DataFrame:
     steps grows with the logarithm of the number of nodes.  Each step's table is
     written to the shared folder.  Null ends and links to oneself are ignored.
     """
-    pairs = links.where("a != b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
-    pairs = cut(pairs, "links")
+    pairs = cut(links.where("a != b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "links")
     mark = None
     while True:
         both = pairs.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(pairs.select(F.col("lo"), F.col("hi")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        wide = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi != lo").distinct(), "large")
+        wide = both.join(least, "u").where("v > u and v != m").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         low = wide.groupBy("hi").agg(F.min("lo").alias("m"))
         moved = wide.join(low, "hi").where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        new = cut(moved.union(low.select("hi", F.col("m").alias("lo"))).distinct(), "small")
-        drop(pairs, wide)
+        new = cut(moved.union(low.select("hi", F.col("m").alias("lo"))).distinct(), "stars")
+        drop(pairs)
         pairs = new
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if now == mark:

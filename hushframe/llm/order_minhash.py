@@ -9,12 +9,20 @@ the Jaccard similarity of their word shingles.
 Candidates.  Tokens are labelled with their occurrence number in the text, and each
 of ``SKETCHES`` hash functions picks the ``PICKED`` labelled tokens of the smallest
 hash.  Their hashes, in the order of the text, make one sketch.  Texts with a common
-sketch form a bucket, and those that share the next one too a second, finer bucket.
-No bucket is expanded into pairs.  In the first round every member is compared with
-its bucket's smallest key.  In each later round, buckets whose members are not yet in
-one class take a new head each, and the members of other classes are compared with
-it, until a round finds no further link.  Linked texts have on average more than half
-of their sketches in common, so every text meets many heads before rounds end.
+sketch form a bucket.  No bucket is expanded into pairs.  In the first round every
+member is paired with its bucket's head, the member that shares most sketches with
+others (of a text and its edited copies, that is the text or what is next to it).  In
+each later round, buckets whose members are not yet in one class take ``HEADS`` new
+heads at random, and the members of other classes are paired with them; until a round
+finds no more links than ``YIELD`` of its pairs.  A pair goes on if its token counts
+allow 0.8 (exact) and if it shares ``SHARED`` sketches: linked texts share each one
+with a probability of 0.64 or more, so that 3 in 100,000 links at the threshold, and
+fewer above it, are not candidates.
+
+What this can miss: two linked texts, in no class through others, whose common
+buckets all have heads that neither is linked to.  Texts that are closer to each other
+than to the head share sketches which the head does not have, and these make buckets
+of their own.
 
 Verification.  Common ends are cut off, then a bit-parallel longest common
 subsequence runs over the rest inside the diagonal band that 0.8 leaves; within that
@@ -39,11 +47,15 @@ from pyspark.sql import functions as F
 
 from hushframe.llm.components import components
 from hushframe.llm.shared import cut, drop
-from hushframe.llm.textbytes import LOWER, SPACED, Words, as_bytes, chunks, mix, windows, words
+from hushframe.llm.textbytes import LOWER, SPACED, Words, as_bytes, chunks, mix, releasing, windows, words
 
 K = 5
-SKETCHES = 12
+SKETCHES = 16
 PICKED = 2
+SHARED = 3
+HEADS = 2
+YIELD = 0.01
+BROADCAST_KEYS = 1_000_000
 LEAST = 0.8
 
 
@@ -72,12 +84,12 @@ def occurrences(rolled: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of texts that have words, and their sketches as int64[texts, SKETCHES]."""
+def sketches(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Indices of texts that have words, their token counts, and their sketches as int64[texts, SKETCHES]."""
     w = words(texts, SPACED, LOWER)
     rolled, doc = tokens(w)
     if not len(rolled):
-        return np.empty(0, dtype=np.int64), np.empty((0, SKETCHES), dtype=np.int64)
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty((0, SKETCHES), dtype=np.int64)
     labelled = mix(rolled ^ mix(occurrences(rolled, doc).astype(np.uint64) + np.uint64(77)))
     heads = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
     sizes = np.diff(np.append(heads, len(doc)))
@@ -103,7 +115,7 @@ def sketches(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         for row in run:
             value = mix(value * np.uint64(31) + row)
         out[:, s] = value
-    return doc[heads], out.view(np.int64)
+    return doc[heads], sizes, out.view(np.int64)
 
 
 def aligned(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> bool:
@@ -154,29 +166,31 @@ def text_key(text: str = "text") -> Column:
 
 
 def sketch_table(keyed: DataFrame) -> DataFrame:
-    """(key, sketch array<long>) for every text with words, from (key, text)."""
+    """(key, n, sketch array<long>) for every text with words, from (key, text); n is its number of tokens."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, keys = as_bytes(batch.column(1)), batch.column(0)
             for part in chunks(texts):
-                doc, values = sketches(texts[part])
+                doc, sizes, values = sketches(texts[part])
                 rows = pa.ListArray.from_arrays(pa.array(np.arange(len(doc) + 1, dtype=np.int32) * SKETCHES), pa.array(values.ravel()))
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(doc + part.start)), rows], names=["key", "sketch"])
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(doc + part.start)), pa.array(sizes), rows], names=["key", "n", "sketch"])
 
-    return keyed.mapInArrow(run, "key binary, sketch array<long>")
+    return keyed.mapInArrow(run, "key binary, n long, sketch array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of keys whose texts are linked."""
-    one = pairs.join(texts.withColumnsRenamed({"key": "a", "text": "ta"}), "a")
-    two = one.join(texts.withColumnsRenamed({"key": "b", "text": "tb"}), "b").select("a", "b", "ta", "tb")
+    """Those of the pairs (a, b) of nodes whose texts are linked; texts: (node, text)."""
+    one = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "ta"}).hint("merge"), "a")
+    two = one.join(texts.withColumnsRenamed({"node": "b", "text": "tb"}).hint("merge"), "b").select("a", "b", "ta", "tb")
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             first, second = as_bytes(batch.column(2)), as_bytes(batch.column(3))
             good: list[int] = []
-            for part in chunks([x + y for x, y in zip(first, second, strict=True)]):
+            for part in chunks(first):
                 sides = []
                 for side in (first, second):
                     rolled, doc = tokens(words(side[part], SPACED, LOWER))
@@ -186,66 +200,107 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             rows = pa.array(good, type=pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows)], names=["a", "b"])
 
-    return two.mapInArrow(run, "a binary, b binary")
+    return two.mapInArrow(run, "a long, b long")
 
 
-def roots_of(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """(node, root) for every text, by its key, that is linked to another but its class's smallest key."""
+def nodes_of(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(key, node): a number for each distinct text, by its key."""
+    return cut(docs.select(text_key(text).alias("key")).distinct().withColumn("node", F.monotonically_increasing_id()), "nodes")
+
+
+def plausible(pairs: DataFrame, table: DataFrame, least: float = LEAST) -> DataFrame:
+    """Those of the pairs (a, b, ...) whose token counts and sketches allow a link; table: (node, n, sketch)."""
+    side = lambda x: table.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    shared = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda same: same))
+    return both.where((F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9) & (shared >= SHARED)).select(pairs.columns)
+
+
+def roots_of(docs: DataFrame, nodes: DataFrame, *, text: str = "text") -> DataFrame:
+    """(node, root) for every text that is linked to another but its class's smallest node."""
     keyed = docs.select(text_key(text).alias("key"), F.col(f"`{text}`").alias("text"))
-    table = cut(sketch_table(keyed), "sketches")
-    slots = F.flatten(F.transform("sketch", lambda x, i: F.array(F.xxhash64(i, x), F.xxhash64(i, x, F.get("sketch", (i + 1) % SKETCHES)))))
-    member = table.select("key", F.explode(slots).alias("bucket"))
-    heads = cut(member.groupBy("bucket").agg(F.min("key").alias("head"), F.max("key").alias("last")).where("head != last").select("bucket", "head"), "heads")
-    member = cut(member.join(heads, "bucket").distinct(), "members")
-    drop(table, heads)
-    needed = member.select("key").distinct()
-    texts = cut(keyed.join(needed, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "texts")
-    pairs = cut(member.where("key != head").select(F.col("head").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
-    roots = components(verified(pairs, texts))
-    member = member.select("key", "bucket")
+    # Copies of a text have equal rows here.
+    raw = cut(sketch_table(keyed).join(nodes, "key").select("node", "n", "sketch"), "sketches")
+    slots = F.transform("sketch", lambda x, i: F.xxhash64(i, x))
+    member = raw.select("node", F.explode(slots).alias("bucket"))
+    shared = member.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("size")).where("first != last").select("bucket", "size")
+    member = cut(member.join(cut(shared, "buckets"), "bucket").distinct(), "members")
+    known = cut(member.groupBy("node").agg(F.sum("size").alias("shared")), "shared")
+    table = cut(raw.join(known, "node", "left_semi").distinct(), "signatures")
+    drop(raw)
+    # Of equal counts, a hash decides.
+    order = F.shiftleft("shared", 20) + F.pmod(F.xxhash64("node"), F.lit(1 << 20))
+    heads = cut(member.join(known, "node").groupBy("bucket").agg(F.max_by("node", order).alias("head")), "heads")
+    member = member.select("node", "bucket")
+    paired = member.join(heads, "bucket").where("node != head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+    pairs = cut(plausible(paired, table), "pairs")
+    # Only texts of plausible pairs are moved, now and in the rounds that follow.
+    texts = texts_of(keyed, nodes, pairs)
+    found = cut(verified(pairs, texts), "found")
+    drop(texts, pairs)
+    roots = components(found)
     turn = 0
     while True:
-        turn += 1
-        known = member.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "bucket", F.coalesce("root", "key").alias("root"))
-        known = cut(known, "known")
-        heads = known.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min_by(F.struct("key", "root"), F.xxhash64("key", "bucket", F.lit(turn))).alias("head")).where("lo != hi").select("bucket", "head")
-        opened = cut(known.join(heads, "bucket"), "open")
-        pairs = opened.where("root != head.root").select(F.least("key", "head.key").alias("a"), F.greatest("key", "head.key").alias("b"), F.least("root", "head.root").alias("ra"), F.greatest("root", "head.root").alias("rb")).distinct()
-        pairs = cut(pairs, "pairs")
+        known = cut(member.join(roots, "node", "left").select("node", "bucket", F.coalesce("root", "node").alias("root")), "known")
+        # The same order in all buckets, so that texts with many common buckets meet few heads twice over.
+        picks = [F.min_by(c, F.xxhash64("node", F.lit(turn + k))).alias(f"{c}{k}") for k in range(HEADS) for c in ("node", "root")]
+        heads = known.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *picks).where("lo != hi").drop("lo", "hi")
+        opened = cut(known.join(cut(heads, "heads"), "bucket"), "open")
+        drop(known)
+        turn += HEADS
+        met = F.explode(F.array(*(F.struct(F.col(f"node{k}").alias("head"), F.col(f"root{k}").alias("head_root")) for k in range(HEADS))))
+        paired = opened.select("node", "root", met.alias("h")).where("root != h.head_root")
+        paired = paired.select(F.least("node", "h.head").alias("a"), F.greatest("node", "h.head").alias("b"), F.least("root", "h.head_root").alias("ra"), F.greatest("root", "h.head_root").alias("rb")).distinct()
+        pairs = cut(plausible(paired, table), "pairs")
+        texts = texts_of(keyed, nodes, pairs)
         found = cut(verified(pairs.select("a", "b"), texts), "found")
-        if found.isEmpty():
+        drop(texts)
+        n_found = found.count()
+        if not n_found:
             return roots
         joined = components(pairs.join(found, ["a", "b"], "left_semi").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
         up = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
         moved = roots.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
         roots = cut(moved.union(joined), "roots")
-        member = opened.select("key", "bucket")
+        if n_found <= YIELD * pairs.count():
+            return roots
+        member = opened.select("node", "bucket")
+
+
+def texts_of(keyed: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, text) of the nodes of the pairs, each once.
+
+    Keys are 16 bytes: while there are at most ``BROADCAST_KEYS`` (counted) they go to every
+    task and only the texts that are needed move; beyond that both sides are shuffled.
+    """
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    needed = cut(nodes.join(ends, "node", "left_semi"), "ends")
+    few = needed.count() <= BROADCAST_KEYS
+    return cut(keyed.join(F.broadcast(needed) if few else needed.hint("merge"), "key").groupBy("node").agg(F.first("text").alias("text")), "texts")
 
 
 def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents' columns, hushframe_class (its smallest key) and hushframe_node (the text's key)."""
+    """The documents' columns, hushframe_class (its smallest key) and hushframe_root (the class itself: keys of different texts may be equal)."""
     names = [F.col(f"`{x}`") for x in docs.columns]
-    roots = roots_of(docs, text=text)
-    rows = docs.select(*names, text_key(text).alias("hushframe_node"))
-    small = docs.select(F.col(f"`{key}`").alias("id"), text_key(text).alias("node"))
-    named = small.join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
-    least = cut(named.groupBy("root").agg(F.min("id").alias("hushframe_class"), F.count("*").alias("n")).where("n > 1").drop("n"), "classes")
-    member = cut(least.select(F.col("root").alias("node"), "hushframe_class").union(roots.join(least, "root").select("node", "hushframe_class")), "members")
-    return rows.join(member.withColumnRenamed("node", "hushframe_node"), "hushframe_node", "left").select(*names, F.coalesce("hushframe_class", F.col(f"`{key}`")).alias("hushframe_class"), "hushframe_node")
+    nodes = nodes_of(docs, text)
+    roots = roots_of(docs, nodes, text=text)
+    root = cut(nodes.join(roots, "node", "left").select(F.col("key").alias("hushframe_key"), "node", F.coalesce("root", "node").alias("root")), "root_of_text")
+    ids = docs.select(F.col(f"`{key}`").alias("id"), text_key(text).alias("hushframe_key")).join(root, "hushframe_key")
+    least = ids.groupBy("root").agg(F.min("id").alias("hushframe_class"))
+    named = cut(root.join(least, "root").select("hushframe_key", F.col("root").alias("hushframe_root"), "hushframe_class"), "class_of_text")
+    rows = docs.select(*names, text_key(text).alias("hushframe_key"))
+    return rows.join(named, "hushframe_key").select(*names, "hushframe_class", "hushframe_root")
 
 
 def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each class: that with the class's smallest key, of equal keys the smallest text key; of equal rows one.
+    """One document of each class: one of the rows with the class's smallest key.
 
-    Documents with a null key are alone in their class unless their text is linked
-    or equal to another.
+    A document with a null key stays only if all keys of its class are null.
     """
-    names = docs.columns
     out = classes(docs, key=key, text=text)
-    class_key = F.when(F.col("hushframe_class").isNull(), F.col("hushframe_node"))
-    mine = out.where(F.col(f"`{key}`").eqNullSafe(F.col("hushframe_class"))).withColumn("hushframe_alone", class_key)
-    # The heads only: a class has as many rows here as rows share its smallest key.
-    return mine.dropDuplicates(["hushframe_class", "hushframe_alone"]).select([F.col(f"`{x}`") for x in names])
+    # A class has as many rows here as rows share its smallest key.
+    heads = out.where(F.col(f"`{key}`").eqNullSafe(F.col("hushframe_class")))
+    return heads.dropDuplicates(["hushframe_root"]).select([F.col(f"`{x}`") for x in docs.columns])
 
 
 def op4_order_minhash(spark, sf_dir: str) -> DataFrame:

@@ -63,11 +63,11 @@ def test_alignment_is_exact(a, b):
 
 def test_sketch_follows_order_and_repeats():
     tokens = prose(1, 300)
-    one = O.sketches([" ".join(tokens).encode()])[1][0]
-    same = O.sketches([("  ".join(tokens) + "\n").upper().encode()])[1][0]
+    one = O.sketches([" ".join(tokens).encode()])[2][0]
+    same = O.sketches([("  ".join(tokens) + "\n").upper().encode()])[2][0]
     assert (one == same).all()
-    turned = O.sketches([" ".join(tokens[150:] + tokens[:150]).encode()])[1][0]
-    near = O.sketches([" ".join(edited(tokens, 2, 3)).encode()])[1][0]
+    turned = O.sketches([" ".join(tokens[150:] + tokens[:150]).encode()])[2][0]
+    near = O.sketches([" ".join(edited(tokens, 2, 3)).encode()])[2][0]
     assert (one == near).sum() > (one == turned).sum()
     assert len(O.sketches([b"", b" \n"])[0]) == 0 and len(O.sketches([b"a b", b""])[0]) == 1
 
