@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hushframe.llm.shared import cut
-from hushframe.llm.textbytes import ALNUM, LOWER, as_bytes, chunks, words
+from hushframe.llm.textbytes import ALNUM, LOWER, as_bytes, chunks, releasing, words
 
 SIZE = 13
 BLOCK_WINDOWS = 200_000
@@ -104,6 +104,7 @@ def word_counts(docs: DataFrame, text: str, wanted: np.ndarray) -> dict[int, int
     """In how many documents, of all, each of the wanted words is; at most one row for each wanted word is sent back."""
     seen = docs.sparkSession.sparkContext.broadcast(np.sort(wanted))
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, total = seen.value, np.zeros(len(seen.value), dtype=np.int64)
         sieve = np.zeros(1 << 16, dtype=bool)
@@ -138,6 +139,7 @@ def matched(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item:
         held = spark.sparkContext.broadcast(index)
         schema = cast([T.StructField(f.name, f.dataType, True) for f in source.schema.fields])
 
+        @releasing
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = held.value
             for batch in batches:

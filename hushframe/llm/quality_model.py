@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm.textbytes import as_bytes, byte_class, chunks, mix, windows, words
+from hushframe.llm.textbytes import as_bytes, byte_class, chunks, mix, releasing, windows, words
 
 DIM = 32
 BUCKETS = 1 << 14
@@ -78,6 +78,7 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     """The normalised context vectors float32[BUCKETS, DIM], from all texts; at most BUCKETS rows reach the driver."""
     columns = [f"c{i}" for i in range(DIM)]
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS * DIM, dtype=np.int64)
         for batch in batches:
@@ -184,6 +185,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     texts = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     seen = docs.sparkSession.sparkContext.broadcast(vectors)
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = as_bytes(batch.column(2))
@@ -205,6 +207,7 @@ def scored(docs: DataFrame, vectors: np.ndarray, network: Network, *, text: str
     held = docs.sparkSession.sparkContext.broadcast((vectors, network))
     names = docs.columns
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, network = held.value
         for batch in batches:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm.textbytes import SPACED, as_bytes, byte_class, chunks, mix, per_text, windows, words
+from hushframe.llm.textbytes import SPACED, as_bytes, byte_class, chunks, mix, per_text, releasing, windows, words
 
 
 @dataclass(frozen=True)
@@ -125,6 +125,7 @@ def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     kept = docs.select(F.col(key), F.col(text).alias("text"))
     schema = f"`{key}` {kept.schema[key].dataType.simpleString()}, " + ", ".join(f"{x} long" for x in MEASURES) + ", fail_bits long"
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, keys = as_bytes(batch.column("text")), batch.column(key)

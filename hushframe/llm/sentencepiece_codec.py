@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushframe.llm.textbytes import chunks
+from hushframe.llm.textbytes import chunks, releasing
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Stretches whose ids a worker keeps; some 100 MB.
-KEPT = 500_000
+#: Stretches whose ids a worker keeps; some 200 MB.
+KEPT = 1_000_000
 #: Values of the public model format: types of pieces and models.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -189,6 +189,7 @@ def encode(docs: DataFrame, *, text: str = "text", model: str = MODEL) -> DataFr
     """The documents' columns and hushframe_ids array<int>."""
     names = docs.columns
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [x or "" for x in batch.column(text).to_pylist()]
@@ -204,6 +205,7 @@ def decode(rows: DataFrame, *, ids: str = "hushframe_ids", model: str = MODEL) -
     """The rows' columns and hushframe_decoded string; null ids decode to the empty text."""
     names = rows.columns
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [codec(model).decode(np.array(x or [], dtype=np.int32)) for x in batch.column(ids).to_pylist()]
@@ -221,6 +223,7 @@ def round_trip(docs: DataFrame, *, key: str = "doc_id", text: str = "text", mode
     """
     kept = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.llm.shared import cut
-from hushframe.llm.textbytes import SPACED, RangeHash, Words, as_bytes, chunks, mix, words
+from hushframe.llm.textbytes import SPACED, RangeHash, Words, as_bytes, chunks, mix, releasing, words
 
 REACH = 2
 ADJACENT = 3
@@ -105,6 +105,7 @@ class Chunks:
 def digests(docs: DataFrame, text: str, key: str) -> DataFrame:
     """Rows (digest, key) for each distinct digest of a document."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, keys = as_bytes(batch.column(1)), batch.column(0)
@@ -136,6 +137,7 @@ def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_words
     spans = "array<struct<start:bigint,end:bigint>>"
     out_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, found = as_bytes(batch.column(text)), batch.column("hushframe_digests")
