@@ -12,6 +12,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from hushframe.functions.patterns import NEEDS
+
 SPAN_TYPE = "struct<start:int,end:int,text:string,field_type:string,detector:string,confidence:double,reason:string>"
 NO_SPANS = f"array<{SPAN_TYPE}>"
 
@@ -47,6 +49,25 @@ def pattern_spans(text: Column, pattern: Column | str, field_type: Column | str,
     return F.transform(places(text, pattern), lambda p: span(p["start"], p["text"], field_type, detector, confidence, reason))
 
 
+def may_match(text: Column, lower: Column, pattern: str) -> Column:
+    """Whether a text can have a match of a known pattern, by what is cheap to see; ``lower``: see folded()."""
+    parts, quick = NEEDS.get(pattern, ((), None))
+    tests = [F.contains(lower, F.lit(x)) for x in parts] + ([text.rlike(quick)] if quick else [])
+    out = tests[0] if tests else F.lit(True)
+    for test in tests[1:]:
+        out = out | test
+    return out
+
+
+def folded(text: Column) -> Column:
+    """Lower case in which letters that any-case patterns take for ASCII ones (long s, dotless and dotted i, Kelvin) are those."""
+    return F.lower(F.translate(text, "\u017f\u0131\u0130\u212a", "siik"))
+
+
+def gated(spans: Column, test: Column) -> Column:
+    return F.when(test, spans).otherwise(F.array().cast(NO_SPANS))
+
+
 def literal(needle: str) -> str:
     """A pattern for the needle in any case."""
     return "(?iu)" + re.sub(r"([\\.^$|?*+()\[\]{}])", r"\\\1", needle)

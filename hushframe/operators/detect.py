@@ -6,21 +6,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from hushframe.functions import patterns as P
-from hushframe.functions.spans import NO_SPANS, SPAN_TYPE, literal_spans, pattern_spans, places, span
+from hushframe.functions.spans import NO_SPANS, SPAN_TYPE, folded, gated, literal_spans, may_match, pattern_spans, places, span
 from hushframe.sources.policies import Policy
 
 
-def registry_spans(text: Column, policy: Policy) -> list[Column]:
+def registry_spans(text: Column, policy: Policy, lower: Column) -> list[Column]:
     """One array for each pattern of a kind that the policy names; the rest never enter the plan."""
-    return [pattern_spans(text, pattern, kind, reason, confidence) for kind, pattern, reason, confidence in P.DETECTORS if kind in policy]
+    return [gated(pattern_spans(text, pattern, kind, reason, confidence), may_match(text, lower, pattern)) for kind, pattern, reason, confidence in P.DETECTORS if kind in policy]
 
 
-def gazetteer_spans(text: Column, policy: Policy) -> list[Column]:
+def gazetteer_spans(text: Column, policy: Policy, lower: Column) -> list[Column]:
     out = []
     if "location" in policy:
-        out += [literal_spans(text, x, "location", "known synthetic location", 0.82, "heuristic") for x in P.LOCATIONS]
+        out += [gated(literal_spans(text, x, "location", "known synthetic location", 0.82, "heuristic"), F.contains(lower, F.lit(x.lower()))) for x in P.LOCATIONS]
     if "client_status" in policy:
-        out += [literal_spans(text, x, "client_status", "synthetic status phrase", 0.9, "heuristic") for x in P.STATUS_PHRASES]
+        out += [gated(literal_spans(text, x, "client_status", "synthetic status phrase", 0.9, "heuristic"), F.contains(lower, F.lit(x.lower()))) for x in P.STATUS_PHRASES]
     return out
 
 
@@ -30,12 +30,12 @@ def looks_like_business(value: Column) -> Column:
 
 def person_spans(text: Column) -> list[Column]:
     """Two capitalised words that are no business and no known place, and forms with titles or initials."""
-    pairs = pattern_spans(text, P.PERSON, "person_name", "capitalized two-word name", 0.66, "heuristic")
-    initial = pattern_spans(text, P.NAME_INITIAL, "person_name", "name + initial", 0.7)
+    some = lambda pattern, reason, confidence, detector="regex": gated(pattern_spans(text, pattern, "person_name", reason, confidence, detector), may_match(text, text, pattern))
+    pairs, initial = some(P.PERSON, "capitalized two-word name", 0.66, "heuristic"), some(P.NAME_INITIAL, "name + initial", 0.7)
     return [
         F.filter(pairs, lambda s: ~looks_like_business(s["text"]) & ~s["text"].isin(*P.NOT_PERSONS)),
-        pattern_spans(text, P.TITLE_NAME, "person_name", "title + name", 0.7),
-        pattern_spans(text, P.INITIAL_SURNAME, "person_name", "initial + surname", 0.7),
+        some(P.TITLE_NAME, "title + name", 0.7),
+        some(P.INITIAL_SURNAME, "initial + surname", 0.7),
         F.filter(initial, lambda s: ~F.regexp_extract(s["text"], r"(?U)^\S+", 0).isin(*P.NOT_FIRST_NAMES)),
     ]
 
@@ -110,9 +110,13 @@ def planted_spans(text: Column, canaries: Column, kinds: Column, found: Column)
     return [F.coalesce(F.flatten(F.transform(usable, of)), F.array().cast(NO_SPANS))]
 
 
-def detect(text: Column, policy: Policy, canaries: Column | None = None, kinds: Column | None = None, found: Column | None = None) -> Column:
-    """All spans of a text in the order in which detectors list them: array<SPAN_TYPE>."""
-    arrays = registry_spans(text, policy) + gazetteer_spans(text, policy)
+def detect(text: Column, policy: Policy, canaries: Column | None = None, kinds: Column | None = None, found: Column | None = None, lower: Column | None = None) -> Column:
+    """All spans of a text in the order in which detectors list them: array<SPAN_TYPE>.
+
+    ``lower``: a column of folded(text), so that it is made once.
+    """
+    lower = folded(text) if lower is None else lower
+    arrays = registry_spans(text, policy, lower) + gazetteer_spans(text, policy, lower)
     if "person_name" in policy:
         arrays += person_spans(text)
     if canaries is not None:

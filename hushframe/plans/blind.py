@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.functions.normalize import normalized_places_all
-from hushframe.functions.spans import NO_SPANS
+from hushframe.functions.spans import NO_SPANS, folded
 from hushframe.operators.detect import detect
 from hushframe.operators.resolve import above_threshold, attribution, clusters
 from hushframe.operators.rewrite import hidden_types, replacements, reveal_entries, spliced
@@ -40,7 +40,8 @@ def blinded(notes: DataFrame, policy: Policy, *, text: str = "raw", key: str = "
     if helped:
         one = one.withColumn("hf_folded", normalized_places_all("hf_raw", "hf_canaries")).transform(once, {"hf_places": F.col("hf_folded")})
         planted_by_name = (F.col("hf_canaries"), F.col("hf_kinds"), F.col("hf_places"))
-    spans = detect(F.col("hf_raw"), policy, *planted_by_name)
+    one = once(one, {"hf_lower": folded(F.col("hf_raw"))})
+    spans = detect(F.col("hf_raw"), policy, *planted_by_name, lower=F.col("hf_lower"))
     if extra_spans:
         spans = F.concat(spans, F.coalesce(F.col(extra_spans).cast(NO_SPANS), F.array().cast(NO_SPANS)))
     two = once(once(one, {"hf_spans": above_threshold(spans, policy)}), {"hf_clusters": clusters(F.col("hf_spans"), F.col("hf_raw"))})
