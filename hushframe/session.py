@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import os
+import io
 import shutil
 import tempfile
 import zipfile
@@ -25,17 +25,33 @@ def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
     return spark
 
 
+def package() -> bytes:
+    """The package as a zip."""
+    top = Path(__file__).resolve().parent
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(top.rglob("*.py")):
+            z.write(path, path.relative_to(top.parent))
+    return out.getvalue()
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Send the package to the Python workers of this application, once; Spark's file server delivers it."""
+    """Send the package to the Python workers of this application, once.
+
+    The zip lies in the folder that spark.checkpoint.dir names; in a folder of our own
+    where that is unset, as on one machine.
+    """
     context = spark.sparkContext
-    if context.applicationId not in _shipped:
-        top = Path(__file__).resolve().parent
-        folder = tempfile.mkdtemp(prefix="hushframe-ship-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        name = os.path.join(folder, "hushframe_package.zip")
-        with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as z:
-            for path in sorted(top.rglob("*.py")):
-                z.write(path, path.relative_to(top.parent))
-        context.addPyFile(name)
-        _shipped.add(context.applicationId)
+    if context.applicationId in _shipped:
+        return spark
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        shared = tempfile.mkdtemp(prefix="hushframe-ship-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{shared.rstrip('/')}/hushframe/{context.applicationId}/hushframe_package.zip")
+    stream = path.getFileSystem(context._jsc.hadoopConfiguration()).create(path, True)
+    stream.write(bytearray(package()))
+    stream.close()
+    context.addPyFile(path.toString())
+    _shipped.add(context.applicationId)
     return spark
