@@ -22,7 +22,7 @@ import pyarrow as pa
 #: glibc keeps what is freed; other C libraries have no such call.
 _libc = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -111,15 +111,13 @@ def words(texts: list[bytes], members: np.ndarray = SPACED, fold: np.ndarray = S
 
     ``ranges``: gets the RangeHash, for further hashes.  ``gap`` must end with a byte of class 0.
     """
-    buf = np.frombuffer(gap.join(texts) + gap, dtype=np.uint8)
+    # A gap before the first text too: what looks back from a text sees the same in any batch.
+    buf = np.frombuffer(gap.join((b"", *texts, b"")), dtype=np.uint8)
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
-    text_start = np.zeros(len(texts), dtype=np.int64)
-    np.cumsum(lengths[:-1] + len(gap), out=text_start[1:])
+    text_start = np.cumsum(lengths + len(gap)) - lengths
     kind = members[buf].view(np.int8)
     edge = np.flatnonzero(kind[1:] != kind[:-1]) + 1
     start = edge[kind[edge] != 0]
-    if kind[0]:
-        start = np.concatenate(([0], start))
     end = edge[kind[edge - 1] != 0]
     hashes = RangeHash(buf, fold)
     if ranges is not None:
