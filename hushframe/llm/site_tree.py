@@ -58,30 +58,38 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 #: Elements, roles and name parts that mark what is not main text.
 ASIDE_TAGS = frozenset("nav footer aside form menu dialog search fieldset".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar note status toolbar".split())
-ASIDE_NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toc toolbar widget widgets".split())
+ASIDE_NAMES = frozenset("ad adbox ads adsense adslot adv advert adverts advertisement advertising alert announcement announcements aside breadcrumb breadcrumbs comment comments commentlist consent cookie cookies discussion disqus footer form gdpr login menu modal nav navbar navigation newsletter notice notices notification notifications pager pagination popup promo promoted promotion related replies reply respond search searchbox share sharing sidebar sidenav signup skip social sponsor sponsored submenu subscribe subscription toc toolbar topbar widget widgets".split())
+#: The same, but part of an article if they are inside one.
+HEADER_NAMES = frozenset("header masthead banner".split())
+#: An article's own class says less: only these, as whole words, make it none.
+NO_ARTICLE = frozenset("ad advert comment comments promo reply sponsored".split())
+#: A class that starts so tells of a page's or element's state.
+STATES = frozenset("has with without no is not hide show".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|template|iframe|svg|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
-_NAME = re.compile(r"[a-z]+")
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 #: A start tag of these ends an open one of those.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
 
 class Node:
-    __slots__ = ("aside", "article", "children", "name", "parts", "tag")
+    __slots__ = ("aside", "article", "children", "header", "name", "parts", "tag")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.name, self.children, self.parts = tag, tag, [], []
-        self.aside, self.article = tag in ASIDE_TAGS, tag in ARTICLE_TAGS
+        self.aside, self.article, self.header = tag in ASIDE_TAGS, tag in ARTICLE_TAGS, tag == "header"
         if attributes and not attributes.isspace():
             for key, *values in _ATTRIBUTE.findall(attributes):
                 key, value = key.lower(), "".join(values)
                 if key in ("class", "id"):
                     self.name += ("." if key == "class" else "#") + ".".join(value.split())
-                    if tag not in ("html", "body") and not ASIDE_NAMES.isdisjoint(_NAME.findall(value.lower())) and not (self.article and key == "class" and tag == "main"):
-                        self.aside = True
+                    if self.article:
+                        self.aside |= not NO_ARTICLE.isdisjoint(value.lower().split())
+                    elif tag not in ("html", "body"):
+                        self.name_says(value)
                 elif key == "role":
                     self.aside |= value.lower() in ASIDE_ROLES
                     self.article |= value.lower() in ("main", "article")
@@ -89,6 +97,14 @@ class Node:
                     self.aside = True
 
 
+    def name_says(self, value: str) -> None:
+        for word in value.split():
+            said = [x.lower() for x in _NAME.findall(word)]
+            if said and said[0] not in STATES:
+                self.aside |= not ASIDE_NAMES.isdisjoint(said)
+                self.header |= not HEADER_NAMES.isdisjoint(said)
+
+
 def parse(page: str) -> Node:
     """The page's tree of block elements; parts are strings and child nodes in order."""
     root = Node("#page")
@@ -194,7 +210,7 @@ def occurrences(root: Node) -> Iterator[tuple[str, int]]:
 
 def importance(node: Node, entropy: float, in_article: bool, page_has_article: bool) -> float:
     """Between 0 and 1, from the merged tree's entropy (1 if unknown) and the node's own presentation."""
-    if node.aside:
+    if node.aside or (node.header and not in_article):
         return 0.0
     if in_article or (node.article and not node.aside):
         return 1.0

@@ -144,6 +144,13 @@ def test_one_page():
     assert T.main_text("<article><p>cut sho", {}) == "cut sho"
 
 
+def test_names_of_elements():
+    page = '<div class="page has-sidebar"><header>Top</header><div class="siteFooter">f</div><p class="no-ads">text</p><div id="adslot1">ad</div></div>'
+    assert T.main_text(page, {}) == "text"
+    page = '<header>Top</header><article class="post comments-open"><header class="post-header"><h1>Title</h1></header><p>x</p><div class="ad-box">ad</div></article><article class="comment">c</article>'
+    assert T.main_text(page, {}) == "Title\nx"
+
+
 def test_deep_and_broken_pages():
     assert T.main_text("<div>" * 5000 + "deep" + "</div>" * 5000 + "<p>after", {}) == "deep\nafter"
     assert T.main_text('<p title="x>y">a</p><p class=>b<p><', {}) == "a\nb\n<"
