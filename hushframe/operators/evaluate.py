@@ -136,3 +136,21 @@ def usefulness(results: DataFrame, client: Client, *, max_cases: int | None = No
 def per_case(results: DataFrame) -> DataFrame:
     """What is written for each case: verdict and counts, no text."""
     return results.select("case_id", "artifact_id", F.col("verification.passed").alias("verification_passed"), "verification_summary", F.col("verification.failure_ids").alias("sanitized_failure_ids"), "hidden_field_types", F.struct(*(x for x in STATS)).alias("llm"))
+
+
+#: Totals that may be shown, in the order in which they are.
+PUBLIC = ("cases_total", "cases_passed", *COUNTERS[:4], "json_or_process_failures", "avg_safe_chars", "avg_raw_chars", "over_redaction_warnings", "coreference_errors", *STATS, "p50_llm_latency_ms", "p95_llm_latency_ms", *REMOVED, "llm_unique_span_field_types", "cases_where_llm_changed_output", "cases_where_llm_prevented_failure", "cases_where_llm_caused_failure", "cases_where_fixture_would_have_saved", "cases_failed_without_fixture_transform", "usefulness_cases_judged", "usefulness_avg_score", "usefulness_p50", "usefulness_p10", "overredaction_count", "missing_semantics_count", "usefulness_failures")
+
+
+def public(metrics: DataFrame) -> DataFrame:
+    """Those of the totals that may be shown."""
+    return metrics.select([c for c in PUBLIC if c in metrics.columns])
+
+
+def summary_line(metrics: DataFrame, name: str, *, with_model: bool = False) -> DataFrame:
+    """(name, line): one suite in a line; missing totals are 0."""
+    value = lambda c: F.col(c).cast("string") if c in metrics.columns else F.lit("0")
+    shown = [("hard", "hard_leaks"), ("near", "near_leaks"), ("num", "numeric_leaks"), ("reveal", "reveal_map_leaks"), ("coref", "coreference_errors"), ("failed", "json_or_process_failures")]
+    model = [("prevented", "cases_where_llm_prevented_failure"), ("caused", "cases_where_llm_caused_failure"), ("changed", "cases_where_llm_changed_output"), ("bad_json", "llm_json_failures"), ("timeouts", "llm_timeouts"), ("accepted", "llm_spans_accepted"), ("p50_ms", "p50_llm_latency_ms"), ("p95_ms", "p95_llm_latency_ms")]
+    parts = [F.concat(value("cases_passed"), F.lit("/"), value("cases_total"))] + [F.concat(F.lit(f"{k}="), value(c)) for k, c in shown + model * with_model]
+    return metrics.select(F.lit(name).alias("name"), F.concat_ws(" ", *parts).alias("line"))

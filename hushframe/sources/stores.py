@@ -59,16 +59,23 @@ class Stores:
         entries = rows.where("verification.passed").select("artifact_id", (F.col(scope) if scope else F.col("artifact_id")).alias("scope_id"), F.inline("reveal_entries")).withColumn("created_at", F.lit(created_at))
         self._append(entries, "reveal_map", ENTRY)
 
+    def delete(self, artifact_ids: list[str], created_at: str) -> None:
+        """From now on the artifacts and their reveal entries are gone from all reads; saving them again brings them back."""
+        rows = self.spark.createDataFrame([(x,) for x in artifact_ids], "artifact_id string")
+        self._append(rows.withColumns({"verification_status": F.lit("deleted"), "created_at": F.lit(created_at)}), "artifacts", ARTIFACT)
+
     def artifacts(self) -> DataFrame:
-        """The last row of each artifact."""
-        last = W.partitionBy("artifact_id").orderBy(F.desc("created_at"))
-        return self._read("artifacts", ARTIFACT).withColumn("hf_n", F.row_number().over(last)).where("hf_n = 1").drop("hf_n")
+        """The last row of each artifact, of equal times that of a deletion."""
+        last = W.partitionBy("artifact_id").orderBy(F.desc("created_at"), (F.col("verification_status") != "deleted"))
+        return self._read("artifacts", ARTIFACT).withColumn("hf_n", F.row_number().over(last)).where("hf_n = 1 and verification_status != 'deleted'").drop("hf_n")
 
     def recent(self, n: int) -> DataFrame:
         return self.artifacts().orderBy(F.desc("created_at"), "artifact_id").limit(n)
 
     def entries(self, artifact_id: str | None = None) -> DataFrame:
-        rows = self._read("reveal_map", ENTRY).dropDuplicates(["artifact_id", "scope_id", "field_type", "original_sha256"])
+        """What placeholders stand for, as the artifact's last saving has it."""
+        saved = self.artifacts().where("verification_status = 'passed'").select("artifact_id", "created_at")
+        rows = self._read("reveal_map", ENTRY).join(saved, ["artifact_id", "created_at"], "left_semi").dropDuplicates(["artifact_id", "scope_id", "field_type", "original_sha256"])
         return (rows.where(F.col("artifact_id") == artifact_id) if artifact_id else rows).orderBy("field_type", "placeholder")
 
     def judgments(self) -> DataFrame:

@@ -183,6 +183,12 @@ def test_stores(spark, tmp_path):
     assert {e.event_type for e in events} == {"submit_judgment", "reveal_sanitized", "blind"}
     assert not any("Bob" in str(e) for e in events)
     assert [r.artifact_id for r in store.recent(1).collect()] == ["a2"]
+    store.delete(["a1"], "2026-01-03T00:00:00+00:00")
+    assert store.entries("a1").count() == 0 and [r.artifact_id for r in store.artifacts().collect()] == ["a2"]
+    with pytest.raises(KeyError):
+        store.read_safe("a1")
+    store.save(out.where("artifact_id = 'a1'"), "2026-01-04T00:00:00+00:00")
+    assert store.entries("a1").count() == 2 and "Person_1" in store.read_safe("a1")
 
 
 def test_audit_counts_prefer_the_verdict(spark):
@@ -203,3 +209,49 @@ def test_training_examples(spark):
     extra = cases(spark, ("extra", [], [])).drop("expected_semantics")
     parts = training.split(training.examples(rows, extra), last=1).collect()
     assert [r.input[-5:] for r in parts if r.split == "val"] == ["extra"] and len(parts) == 3
+
+
+def test_public_totals_and_lines(spark):
+    totals = evaluate.totals(evaluate.evaluated(cases(spark, ("hello", [], [])), CLIENT)).withColumn("secret", F.lit(1))
+    assert "secret" not in evaluate.public(totals).columns and evaluate.public(totals).columns[:2] == ["cases_total", "cases_passed"]
+    assert evaluate.summary_line(totals, "s").first()[:] == ("s", "1/1 hard=0 near=0 num=0 reveal=0 coref=0 failed=0")
+    assert " prevented=0 " in evaluate.summary_line(totals, "s", with_model=True).first().line
+
+
+def test_chat_over_http(monkeypatch):
+    import threading
+    import time
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from hushframe.sources.chat import LocalChat, RemoteChat, silent
+
+    seen = []
+
+    class Server(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((body, self.headers.get("Authorization")))
+            said = body["messages"][0]["content"]
+            if said == "slow":
+                time.sleep(1.5)
+            answer = {"local": {"message": {"content": "hi"}}, "remote": {"choices": [{"message": {"content": "there"}}]}}.get(said)
+            raw = json.dumps(answer).encode() if answer else b"not json"
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(raw)))
+            self.end_headers()
+            self.wfile.write(raw)
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Server)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/"
+    assert LocalChat(url, "m")("local").text == "hi" and seen[-1][0]["format"] == "json"
+    assert not LocalChat(url, "m")("other").ok
+    assert LocalChat(url, "m", seconds=0.2)("slow").timed_out
+    assert not LocalChat("http://127.0.0.1:1/", "m")("x").ok and not silent("x").ok
+    assert not RemoteChat(url, "m")("remote").ok
+    monkeypatch.setenv("HUSHFRAME_REMOTE_KEY", "k")
+    assert RemoteChat(url, "m")("remote").text == "there" and seen[-1][1] == "Bearer k"
+    server.shutdown()
