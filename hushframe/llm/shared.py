@@ -24,8 +24,23 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + os.path.abspath(_own[0])
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/hushframe/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/hushframe/{uuid.uuid4().hex}/{name}"
+    return f"{own_dir(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all that this application has put into the shared folder, when no result is read any more."""
+    delete(spark, own_dir(spark))
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -38,7 +53,5 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by cut() that are no longer read."""
     for table in tables:
-        spark = table.sparkSession
         for name in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete(table.sparkSession, name)
