@@ -4,7 +4,7 @@ A gear hash (h = 2 h + G[byte], 16 bits, so that only the last 16 bytes count) r
 over a text.  A chunk ends after a word whose hash is smaller than those of the
 ``REACH`` words on either side.  This rule looks only at nearby bytes: an insertion
 moves the cuts beside it and no others, and chunks have at least ``REACH`` + 1 words
-but for a text's last.
+(but for a text's last) and at most ``MOST``.
 
 A chunk counts as repeated where its digest, taken together with its neighbours'
 (three adjacent chunks, hashed as one byte range), is also in a document of a smaller
@@ -33,6 +33,7 @@ from hushframe.llm.shared import cut
 from hushframe.llm.textbytes import SPACED, RangeHash, Words, as_bytes, chunks, mix, releasing, words
 
 REACH = 2
+MOST = 12
 ADJACENT = 3
 MIN_WORDS = 25
 
@@ -64,7 +65,14 @@ def chunk_ends(w: Words) -> np.ndarray:
         least[:step] = False
         least[:-step] &= inside & (rolled[:-step] <= rolled[step:])
         least[-step:] = False
-    return np.flatnonzero(least | last)
+    ends = np.flatnonzero(least | last)
+    # A longer chunk is cut every MOST words from its start: words that repeat themselves have no smallest hash.
+    first = np.concatenate(([0], ends[:-1] + 1)) if len(ends) else ends
+    more = (ends - first) // MOST
+    if more.any():
+        step = np.arange(1, more.sum() + 1) - np.repeat(np.cumsum(more) - more, more)
+        ends = np.sort(np.concatenate((ends, np.repeat(first, more) + step * MOST - 1)))
+    return ends
 
 
 class Chunks:

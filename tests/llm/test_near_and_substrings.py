@@ -128,13 +128,27 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_tables_in_the_shared_folder(spark):
+    from hushframe.llm.shared import clean, cut, drop
+
+    one, two = cut(spark.range(5), "one"), cut(spark.range(0), "two")
+    assert one.count() == 5 and two.count() == 0 and all("/hushframe/" in f for f in one.inputFiles())
+    drop(one, two)
+    three = cut(spark.range(3), "three")
+    clean(spark)
+    with pytest.raises(Exception, match="(?i)not.*exist|FileNotFound|FILE_NOT_EXIST"):
+        spark.read.schema("id long").parquet(three.inputFiles()[0]).count()
+
+
 def test_chunks_resist_insertions():
     tokens = prose(3, 2000)
     one = S.Chunks([" ".join(tokens).encode()])
     two = S.Chunks([" ".join([*tokens[:500], "new", "words", *tokens[500:]]).encode()])
     assert len(set(one.digest.tolist()) - set(two.digest.tolist())) <= 8
     sizes = one.last - one.first + 1
-    assert sizes[:-1].min() > S.REACH and 4 < sizes.mean() < 7
+    assert sizes[:-1].min() > S.REACH and 4 < sizes.mean() < 7 and sizes.max() <= S.MOST
+    same = S.Chunks([b"", b"the " * 100, b"a"])
+    assert (same.last - same.first + 1).tolist() == [12] * 8 + [4, 1]
 
 
 def test_gear_hash_against_the_loop():
