@@ -31,7 +31,7 @@ def notes_sql(*, duckdb: bool) -> str:
     year = f"cast(2024 + c_custkey % 6 as {'varchar' if duckdb else 'string'})"
     return f"""SELECT *, concat(person, ' at ', org, ' ', status, '. Budget is $', budget, '/day in ', city, '. Mail ', email, ' about account ', account, ' by ', day, '. Files in ', path, '. Graded by ', model, ' and ', person, '.') AS raw
 FROM (SELECT c_custkey AS note_id, concat({pick(FIRST)}, ' ', {pick(LAST, 3)}) AS person, {pick(ORGS)} AS org, {amount} AS budget, {pick(CITIES)} AS city, {pick(STATUSES)} AS status,
-concat('user', {number}, '@example.test') AS email, concat('acct_', substr(md5({number}), 1, 12)) AS account, concat('/home/acme/n', {number}, '/brief.md') AS path, concat({year}, '-', {month}, '-', {day}) AS day, {pick(MODELS)} AS model FROM customer) n"""
+concat('user', {number}, '@example.test') AS email, concat('acct_', substr(md5({number}), 1, 12)) AS account, concat('/home/team/n', {number}, '/brief.md') AS path, concat({year}, '-', {month}, '-', {day}) AS day, {pick(MODELS)} AS model FROM customer) n"""
 
 
 NOTES = f"notes AS ({notes_sql(duckdb=True)})"

@@ -81,7 +81,7 @@ def generated_cases(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
         "email": F.concat(F.replace(F.lower("person"), F.lit(" "), F.lit(".")), F.lit("@example.test")),
         "phone": F.concat_ws("-", F.lit("555"), (draw("phone", 800) + 200).cast("string"), (draw("line", 9000) + 1000).cast("string")),
         "account": F.concat(F.lit("acct_"), F.substring(F.sha2(F.concat_ws("/", F.lit(str(seed)), F.col("line_no")), 256), 1, 12)),
-        "path": F.concat(F.lit("/home/acme/"), F.replace(F.lower("business"), F.lit(" "), F.lit("-")), F.lit("/brief.md")),
+        "path": F.concat(F.lit("/home/team/"), F.replace(F.lower("business"), F.lit(" "), F.lit("-")), F.lit("/brief.md")),
     })
     values = {c: F.col(c) for c in ("person", "business", "budget", "location", "status", "email", "phone", "account", "path")}
     raw = None

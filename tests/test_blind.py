@@ -111,7 +111,7 @@ def test_common_form_places_overlap():
 
 @pytest.mark.parametrize(
     ("value", "kind"),
-    [("a@b.com", "email"), ("743-555-3824", "phone"), ("555-1212", "phone"), ("www.x.com/y", "url"), ("sk-EXAMPLEfakekey00000", "api_key"), ("token_4455", "secret_token"), ("a" * 32, "secret_token"), ("/home/acme/x", "file_path"), ("C:\\x\\y", "file_path"), ("$75/day", "budget"), ("seventy five per day", "budget"), ("acct_12345", "account_id"), ("2024-05-06", "date"), ("next week", "date"), ("Smith Roofing", "business_name"), ("Detroit", "location"), ("only agreed verbally", "client_status"), ("Bob Calder", "person_name"), ("Gemini", "model_name"), ("whatever", "private_note")],
+    [("a@b.com", "email"), ("743-555-3824", "phone"), ("555-1212", "phone"), ("www.x.com/y", "url"), ("sk-EXAMPLEfakekey00000", "api_key"), ("token_4455", "secret_token"), ("a" * 32, "secret_token"), ("/home/team/x", "file_path"), ("C:\\x\\y", "file_path"), ("$75/day", "budget"), ("seventy five per day", "budget"), ("acct_12345", "account_id"), ("2024-05-06", "date"), ("next week", "date"), ("Smith Roofing", "business_name"), ("Detroit", "location"), ("only agreed verbally", "client_status"), ("Bob Calder", "person_name"), ("Gemini", "model_name"), ("whatever", "private_note")],
 )
 def test_infer_field_type(spark, value, kind):
     assert spark.createDataFrame([(value,)], "v string").select(infer_field_type(F.col("v"))).first()[0] == kind

@@ -123,7 +123,7 @@ def test_nearest_rank(spark, n, p, value):
 
 def test_names_of_runs():
     assert evaluate.mode_suffix() == ""
-    assert evaluate.mode_suffix(llm_mode="ollama", strategy="grade", verdicts="triage", fixture_transform=False, judge="local") == ".fixture_off.llm_ollama.grade.triage.judge_local"
+    assert evaluate.mode_suffix(llm_mode="local", strategy="grade", verdicts="triage", fixture_transform=False, judge="local") == ".fixture_off.llm_local.grade.triage.judge_local"
     assert evaluate.artifact_stem("a-b.c.") == "a_b_c"
 
 
