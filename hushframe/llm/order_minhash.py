@@ -14,15 +14,16 @@ member is paired with its bucket's head, the member that shares most sketches wi
 others (of a text and its edited copies, that is the text or what is next to it).  In
 each later round, buckets whose members are not yet in one class take ``HEADS`` new
 heads at random, and the members of other classes are paired with them; until a round
-finds no more links than ``YIELD`` of its pairs.  A pair goes on if its token counts
-allow 0.8 (exact) and if it shares ``SHARED`` sketches: linked texts share each one
-with a probability of 0.64 or more, so that 3 in 100,000 links at the threshold, and
-fewer above it, are not candidates.
+finds no more links than ``YIELD`` of its pairs.  These rounds only make classes cheaply:
+in every bucket that then still has members of two classes, all members of different
+classes are compared, in blocks of ``BLOCK`` members that are dealt out like rows.  A
+pair goes on if its token counts allow 0.8 (exact) and if it shares ``SHARED`` sketches:
+linked texts share each one with a probability of 0.64 or more, so that 3 in 100,000
+links at the threshold, and fewer above it, are not candidates.
 
-What this can miss: two linked texts, in no class through others, whose common
-buckets all have heads that neither is linked to.  Texts that are closer to each other
-than to the head share sketches which the head does not have, and these make buckets
-of their own.
+Nothing else is missed: a pair of different classes that goes on is verified, whatever
+else its buckets hold.  The price is that of a family of texts which are alike but not
+linked (form letters): all of its pairs are verified.
 
 Verification.  Common ends are cut off, then a bit-parallel longest common
 subsequence runs over the rest inside the diagonal band that 0.8 leaves; within that
@@ -55,6 +56,9 @@ PICKED = 2
 SHARED = 3
 HEADS = 2
 YIELD = 0.01
+#: Members of a block, and pairs compared at once.
+BLOCK = 512
+AT_ONCE = 1 << 17
 BROADCAST_KEYS = 1_000_000
 LEAST = 0.8
 
@@ -255,16 +259,103 @@ def roots_of(docs: DataFrame, nodes: DataFrame, *, text: str = "text") -> DataFr
         texts = texts_of(keyed, nodes, pairs)
         found = cut(verified(pairs.select("a", "b"), texts), "found")
         drop(texts)
-        n_found = found.count()
-        if not n_found:
-            return roots
-        joined = components(pairs.join(found, ["a", "b"], "left_semi").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-        up = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        moved = roots.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-        roots = cut(moved.union(joined), "roots")
-        if n_found <= YIELD * pairs.count():
-            return roots
+        n_found, n_pairs = found.count(), pairs.count()
+        roots = merged(roots, pairs, found)
+        drop(found, pairs)
         member = opened.select("node", "bucket")
+        if n_found <= YIELD * n_pairs:
+            break
+    pairs = cut(unlinked(member, roots, table).distinct(), "pairs")
+    texts = texts_of(keyed, nodes, pairs)
+    found = cut(verified(pairs.select("a", "b"), texts), "found")
+    drop(texts)
+    return merged(roots, pairs, found)
+
+
+def merged(roots: DataFrame, pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """roots (node, root) after the links found (a, b) among the pairs (a, b, ra, rb), whose ra and rb are the ends' roots."""
+    joined = components(pairs.join(found, ["a", "b"], "left_semi").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+    up = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    moved = roots.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return cut(moved.union(joined), "roots")
+
+
+def unlinked(member: DataFrame, roots: DataFrame, table: DataFrame, least: float = LEAST, size: int = BLOCK) -> DataFrame:
+    """All plausible pairs (a, b, ra, rb) of members (node, bucket) of one bucket and different classes.
+
+    A bucket's largest class needs no pairs within itself, so its members meet the others only.  Both are
+    dealt into blocks by hash; two blocks, or one and itself, are a cell, which has at most some 2 * size rows.
+    """
+    known = cut(member.join(roots, "node", "left").select("node", "bucket", F.coalesce("root", "node").alias("root")), "known")
+    counts = known.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    open_ = counts.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"), F.count("*").alias("classes")).where("classes > 1")
+    blocks = lambda n: F.ceil(n / size).cast("long")
+    open_ = cut(open_.select("bucket", "main", blocks(F.col("all") - F.col("most")).alias("rest"), blocks(F.col("most")).alias("mains")), "open")
+    rows = known.join(open_, "bucket").join(table.select("node", "n", "sketch"), "node").withColumn("is_main", F.col("root") == F.col("main"))
+    total = F.col("rest") + F.col("mains")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node", F.lit("block")), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("rest"))) + F.when(F.col("is_main"), F.col("rest")).otherwise(0))
+    meets = F.sequence(F.lit(0).cast("long"), F.when(F.col("is_main"), F.col("rest")).otherwise(total) - 1)
+    dealt = rows.select("node", "root", "n", "sketch", "bucket", "own", total.alias("total"), F.explode(meets).alias("other"))
+    lo, hi = F.least("own", "other"), F.greatest("own", "other")
+    # 0 and 1 are the sides of a cell of two blocks; a block with itself is side 2.
+    side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
+    cells = dealt.select(F.xxhash64("bucket", lo * F.col("total") + hi, F.lit("cell")).alias("cell"), side.alias("side"), "node", "root", "n", "sketch")
+    # A clash of cells would only compare more; a pair counts if it is plausible.
+    cells = cells.repartition("cell").sortWithinPartitions("cell", "side", "root")
+
+    @releasing
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            cell = batch.column(0)
+            if not len(cell):
+                continue
+            # The last cell of a batch may go on in the next.
+            cuts = int(np.searchsorted(cell.to_numpy(), cell[-1].as_py()))
+            if not cuts and held and held[-1].column(0)[-1] == cell[-1]:
+                held.append(batch)
+                continue
+            if held and held[-1].column(0)[-1] != cell[0]:
+                yield from plausible_in(held, least)
+                held = []
+            if cuts:
+                yield from plausible_in([*held, batch.slice(0, cuts)], least)
+                held = []
+            held.append(batch.slice(cuts))
+        if held:
+            yield from plausible_in(held, least)
+
+    return cells.mapInArrow(run, "a long, b long, ra long, rb long")
+
+
+def plausible_in(batches: list[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """The plausible pairs of different roots in whole cells (cell, side, node, root, n, sketch), sorted by cell, side and root."""
+    rows = pa.Table.from_batches(batches).combine_chunks()
+    cell, side, node, root, n = (rows.column(i).to_numpy() for i in range(5))
+    sketch = rows.column(5).combine_chunks().flatten().to_numpy().reshape(-1, SKETCHES)
+    at = np.arange(len(cell))
+    turn = lambda *of: np.concatenate(([True], np.any([x[1:] != x[:-1] for x in of], axis=0)))
+
+    def ends(first: np.ndarray) -> np.ndarray:
+        starts = np.flatnonzero(first)
+        return np.repeat(np.append(starts[1:], len(cell)), np.diff(np.append(starts, len(cell))))
+
+    # Side 0 meets what comes after its side, side 2 what comes after its root, side 1 nothing.
+    end = ends(turn(cell))
+    begin = np.where(side == 0, ends(turn(cell, side)), np.where(side == 2, ends(turn(cell, side, root)), end))
+    todo = end - begin
+    before = np.concatenate(([0], np.cumsum(todo)))
+    for low in range(0, int(before[-1]), AT_ONCE):
+        k = np.arange(low, min(low + AT_ONCE, int(before[-1])))
+        x = at[np.searchsorted(before, k, side="right") - 1]
+        y = begin[x] + k - before[x]
+        good = (root[x] != root[y]) & (np.minimum(n[x], n[y]) >= least * np.maximum(n[x], n[y]) - 1e-9)
+        x, y = x[good], y[good]
+        good = (sketch[x] == sketch[y]).sum(axis=1) >= SHARED
+        x, y = x[good], y[good]
+        out = [np.minimum(node[x], node[y]), np.maximum(node[x], node[y]), np.minimum(root[x], root[y]), np.maximum(root[x], root[y])]
+        if len(x):
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["a", "b", "ra", "rb"])
 
 
 def texts_of(keyed: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -111,6 +111,31 @@ def test_classes_against_brute_force(spark):
     assert kept == set(got.values())
 
 
+def test_links_inside_a_family_of_form_letters(spark):
+    """Letters of one form are no links (0.73); each has an edited copy that is one, which no head of a shared bucket may hide."""
+    form = prose(5, 400)
+    letters = [[*form, *prose(1000 + i, 62)] for i in range(150)]
+    texts = [" ".join(x) for i, letter in enumerate(letters) for x in (letter, edited(letter, 9000 + i, 5))]
+    assert similarity(letters[0], letters[1]) < 0.8 <= similarity(letters[0], edited(letters[0], 9000, 5))
+    docs = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    got = {r.doc_id: r.hushframe_class for r in O.classes(docs).collect()}
+    assert [i for i in range(0, 300, 2) if got[i] != got[i + 1]] == []
+    assert len(set(got.values())) == 150
+
+
+def test_blocks_compare_all_pairs_of_classes(spark):
+    """Members of one bucket, dealt into many blocks, against plain loops."""
+    r = random.Random(3)
+    values = [(i, r.choice((100, 110, 130)), [r.randrange(3) for _ in range(O.SKETCHES)]) for i in range(120)]
+    table = spark.createDataFrame(values, "node long, n long, sketch array<long>")
+    root = {i: 0 if i < 50 else i - i % 4 for i in range(120)}
+    roots = spark.createDataFrame([(i, x) for i, x in root.items() if i != x], "node long, root long")
+    got = O.unlinked(table.selectExpr("node", "1L AS bucket"), roots, table, size=7).collect()
+    want = {(a, b) for a, n, s in values for b, m, t in values if a < b and root[a] != root[b] and min(n, m) >= 0.8 * max(n, m) and sum(x == y for x, y in zip(s, t, strict=True)) >= O.SHARED}
+    assert {(x.a, x.b) for x in got} == want and len(got) == len(want)
+    assert all({x.ra, x.rb} == {root[x.a], root[x.b]} for x in got)
+
+
 def test_near_duplicate_odd_tables(spark):
     schema = "doc_id long, text string, node string, bucket int, root string"
     rows = [(1, "a b c d e f", "x", 1, "r")] * 3 + [(None, "a b c d e f", "x", 1, "r"), (None, "zz", None, None, None), (2, "other words are in here", None, None, None), (2, "a b c d e f", "y", 2, "s")]
