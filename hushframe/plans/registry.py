@@ -1,8 +1,8 @@
 """The named queries over the reference operators, and their SQL.
 
 Patterns in the SQL are the ASCII readings of those in functions.patterns, without
-lookarounds, which DuckDB does not have; the queries they are compared with read
-tables whose text makes no difference to that, or the ASCII rows of documents.
+lookarounds, which DuckDB does not have; of documents the SQL reads the ASCII rows only,
+while the queries read all of them.
 """
 
 from __future__ import annotations
@@ -46,11 +46,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ascii_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents in which ASCII and Unicode readings of a pattern agree."""
-    return table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
-
-
 ASCII = "(SELECT * FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]'))"
 
 
@@ -60,7 +55,7 @@ def exploded(rows: DataFrame, key: str, spans: Column) -> DataFrame:
 
 def _spans_query(name: str, source: str, key: str, column: str, kind: str, pattern: str, reason: str, confidence: float, sql_pattern: str, options: str = "") -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = {"documents": ascii_documents, "notes": N.notes}.get(source, lambda s, d: table(s, d, source))(spark, sf_dir)
+        rows = {"notes": N.notes}.get(source, lambda s, d: table(s, d, source))(spark, sf_dir)
         return exploded(rows.select(key, column), key, pattern_spans(F.col(column), pattern, kind, reason, confidence)).select(key, "n", "text")
 
     run.__name__ = name
