@@ -82,8 +82,8 @@ def islands_by_window(spans: DataFrame, key: str) -> DataFrame:
 
 
 def winners(islands: DataFrame, key: str) -> DataFrame:
-    """One row for each island of islands_by_window(): its range, the winner's kind and detector, and the sources."""
-    rank = F.struct("confidence", (F.col("end") - F.col("start")).alias("n"), sensitivity(F.col("field_type")).alias("s"), (-F.col("start")).alias("a"), (-F.col("end")).alias("b"), (-F.col("seq")).alias("d"))
+    """One row for each island of islands_by_window(): its range, the winner's kind and detector (the last by name if all else is equal), and the sources."""
+    rank = F.struct("confidence", (F.col("end") - F.col("start")).alias("n"), sensitivity(F.col("field_type")).alias("s"), (-F.col("start")).alias("a"), (-F.col("end")).alias("b"), (-F.col("seq")).alias("d"), "field_type", "detector")
     best = F.max_by(F.struct("field_type", "detector", "confidence"), rank)
     rows = islands.groupBy(key, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), best.alias("best"), F.array_sort(F.collect_set(source(F.col("detector")))).alias("sources"), F.count("*").alias("n_spans"))
     return rows.select(key, "island", "start", "end", "best.*", "sources", "n_spans")

@@ -8,7 +8,6 @@ while the queries read all of them.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hushframe.functions import patterns as P
@@ -157,11 +156,11 @@ def _case(column: str, some: tuple[str, ...]) -> str:
 SPANS = "spans AS (" + _SPANS.format(kind=_case("l_suppkey", _KINDS), detector=_case("l_partkey", _WHO), lineitem="(SELECT * FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1)") + ")"
 
 
-def distinct_span_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def span_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of lineitem as spans; of an order's equal line numbers, the winners' last names decide. The SQL reads only lines whose number does not repeat."""
     lines = table(spark, sf_dir, "lineitem")
-    one = lines.withColumn("hf_n", F.count("*").over(W.partitionBy("l_orderkey", "l_linenumber"))).where("hf_n = 1")
     sql = _SPANS.replace('"', "`").format(kind=_case("l_suppkey", _KINDS), detector=_case("l_partkey", _WHO), lineitem="{lineitem}")
-    return spark.sql(sql, lineitem=one)
+    return spark.sql(sql, lineitem=lines)
 
 
 _THRESHOLD = "".join(f", ('{k}', {0.25 if k == 'budget' else 0.0})" for k in P.FIELD_TYPES)[2:]
@@ -171,7 +170,7 @@ _THRESHOLD = "".join(f", ('{k}', {0.25 if k == 'budget' else 0.0})" for k in P.F
 def policy_threshold(spark, sf_dir):
     """The threshold as a join: the policy is a dimension of a row a kind, small enough to send to every task."""
     fields = policy_fields(spark, POLICY).select("field_type", F.when(F.col("field_type") == "budget", 0.25).otherwise(0.0).alias("least"))
-    return distinct_span_rows(spark, sf_dir).join(F.broadcast(fields), "field_type").where("confidence >= least").select("note_id", "start", "end", "seq", "field_type", "detector", "confidence")
+    return span_rows(spark, sf_dir).join(F.broadcast(fields), "field_type").where("confidence >= least").select("note_id", "start", "end", "seq", "field_type", "detector", "confidence")
 
 
 ISLANDS = f"""{SPANS}, reach AS (SELECT *, max("end") OVER (PARTITION BY note_id ORDER BY "start", "end", seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM spans WHERE "start" < "end"),
@@ -180,7 +179,7 @@ islands AS (SELECT * EXCLUDE r, CAST(sum(CASE WHEN "start" < r THEN 0 ELSE 1 END
 
 @query(f"WITH {ISLANDS} SELECT * FROM islands")
 def span_islands(spark, sf_dir):
-    return resolve.islands_by_window(distinct_span_rows(spark, sf_dir), "note_id")
+    return resolve.islands_by_window(span_rows(spark, sf_dir), "note_id")
 
 
 _RANK = "CASE field_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in P.SENSITIVITY.items()) + " ELSE 0 END"
@@ -189,19 +188,19 @@ _RANK = "CASE field_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in P.SENSI
 @query(f"""WITH {ISLANDS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY note_id, island ORDER BY confidence DESC, "end" - "start" DESC, {_RANK} DESC, "start", "end", seq) AS k, min("start") OVER (PARTITION BY note_id, island) AS a, max("end") OVER (PARTITION BY note_id, island) AS b FROM islands)
 SELECT note_id, island, a AS "start", b AS "end", field_type, detector, confidence FROM ranked WHERE k = 1""")
 def island_winner(spark, sf_dir):
-    return resolve.winners(resolve.islands_by_window(distinct_span_rows(spark, sf_dir), "note_id"), "note_id").drop("sources", "n_spans")
+    return resolve.winners(resolve.islands_by_window(span_rows(spark, sf_dir), "note_id"), "note_id").drop("sources", "n_spans")
 
 
 @query(f"WITH {ISLANDS} SELECT note_id, island, array_to_string(list_sort(list_distinct(list(CASE WHEN detector IN ('fixture', 'llm') THEN detector ELSE 'detector' END))), ',') AS sources, count(*) AS n_spans FROM islands GROUP BY 1, 2")
 def island_sources(spark, sf_dir):
-    rows = resolve.winners(resolve.islands_by_window(distinct_span_rows(spark, sf_dir), "note_id"), "note_id")
+    rows = resolve.winners(resolve.islands_by_window(span_rows(spark, sf_dir), "note_id"), "note_id")
     return rows.select("note_id", "island", F.array_join("sources", ",").alias("sources"), "n_spans")
 
 
 def _row_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same spans as arrays, resolved within rows."""
+    """The same spans as arrays, resolved within rows; of equal seq, the last names are listed first, as winners() has it."""
     item = F.struct("start", "end", F.lit("").alias("text"), "field_type", "detector", "confidence", F.lit("").alias("reason"))
-    rows = distinct_span_rows(spark, sf_dir).groupBy("note_id").agg(F.array_sort(F.collect_list(F.struct("seq", item.alias("s")))).alias("listed"))
+    rows = span_rows(spark, sf_dir).groupBy("note_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct((-F.col("seq")).alias("seq"), item.alias("s"))))).alias("listed"))
     spans = once(rows, {"spans": F.transform("listed", lambda x: x["s"])})
     return once(spans, {"clusters": resolve.clusters(F.col("spans"), F.lit(""))})
 
@@ -325,7 +324,7 @@ def leak_numeric(spark, sf_dir):
 
 @query(f"WITH {SPANS} SELECT note_id FROM (SELECT note_id, field_type, detector FROM spans GROUP BY ALL HAVING count(DISTINCT \"start\") > 1 UNION ALL SELECT note_id, field_type, NULL FROM spans GROUP BY note_id, field_type, \"start\" HAVING count(DISTINCT detector) > 1) GROUP BY 1")
 def coreference_conflict(spark, sf_dir):
-    entries = distinct_span_rows(spark, sf_dir).select("note_id", "field_type", F.col("detector").alias("original_sha256"), F.col("start").cast("string").alias("placeholder"))
+    entries = span_rows(spark, sf_dir).select("note_id", "field_type", F.col("detector").alias("original_sha256"), F.col("start").cast("string").alias("placeholder"))
     return verify.mapping_conflicts(entries, "note_id")
 
 

@@ -1,0 +1,25 @@
+"""Queries read whole tables, also where their SQL reads a part."""
+
+import re
+
+import duckdb
+import pytest
+
+from hushframe.plans import registry
+
+DISTINCT = "(SELECT * FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1)"
+
+
+@pytest.mark.parametrize("name", "policy_threshold span_islands island_winner island_sources clusters_in_row attribution_counts coreference_conflict".split())
+def test_all_of_lineitem(spark, sf_dir, name):
+    """The SQL over all lines, with the names as the last of the order."""
+    sql = registry.ORACLE_SQL[name]
+    assert DISTINCT in sql
+    sql = sql.replace(DISTINCT, "lineitem").replace('"end", seq)', '"end", seq, field_type DESC, detector DESC)').replace('"end", seq ROWS', '"end", seq, field_type DESC, detector DESC ROWS')
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS FROM '{sf_dir}/lineitem.parquet'")
+    want = con.sql(sql)
+    got = registry.QUERIES[name](spark, sf_dir)
+    columns = sorted(got.columns)
+    places = [want.columns.index(c) for c in columns]
+    assert sorted((tuple(r[c] for c in columns) for r in got.collect()), key=repr) == sorted((tuple(r[i] for i in places) for r in want.fetchall()), key=repr)
