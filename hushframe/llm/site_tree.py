@@ -21,9 +21,9 @@ every task and pages are not moved; beyond that they are joined on the host and
 so that a host's pages are spread over ``SALTS`` keys.
 
 Defined results: a null or empty page has empty text; a page without an article is
-judged by entropy and names alone; paths seen in fewer than ``FEW`` places are kept
-unless their names speak against them; unclosed and stray tags are closed as browsers
-do in the common cases; repeated rows count as pages.
+judged by entropy and names alone; paths seen in fewer than ``FEW`` different pages of
+a host are kept unless their names speak against them; unclosed and stray tags are
+closed as browsers do in the common cases; copies of a page on a host count once.
 """
 
 from __future__ import annotations
@@ -250,19 +250,25 @@ def merged_tree(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total: Counter = Counter()
+            places: Counter = Counter()
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 root = parse(page or "")
                 if not has_article(root):
-                    total.update((host, path, digest) for path, digest in occurrences(root))
+                    found = [(host, path, digest) for path, digest in occurrences(root)]
+                    total.update(found)
+                    # A page counts once for each of its paths.
+                    places.update({key[1]: key for key in found}.values())
             keys = list(total)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], type=pa.string()), pa.array([k[1] for k in keys], type=pa.string()), pa.array([k[2] for k in keys], type=pa.int64()), pa.array([total[k] for k in keys], type=pa.int64())], names=["host", "path", "digest", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], type=pa.string()), pa.array([k[1] for k in keys], type=pa.string()), pa.array([k[2] for k in keys], type=pa.int64()), pa.array([total[k] for k in keys], type=pa.int64()), pa.array([places[k] for k in keys], type=pa.int64())], names=["host", "path", "digest", "n", "pages"])
 
-    rows = pages.mapInArrow(run, "host string, path string, digest long, n long")
-    each = rows.groupBy("host", "path", "digest").agg(F.sum("n").alias("n"))
+    page = F.coalesce("html", F.lit(""))
+    once = pages.groupBy("host", F.md5(page).alias("page")).agg(F.first(page).alias("html")).select("host", "html")
+    rows = once.mapInArrow(run, "host string, path string, digest long, n long, pages long")
+    each = rows.groupBy("host", "path", "digest").agg(F.sum("n").alias("n"), F.sum("pages").alias("pages"))
     n = F.col("n").cast("double")
-    nodes = each.groupBy("host", "path").agg(F.sum("n").alias("all"), F.sum(n * F.ln(n)).alias("nlogn"))
+    nodes = each.groupBy("host", "path").agg(F.sum("n").alias("all"), F.sum("pages").alias("pages"), F.sum(n * F.ln(n)).alias("nlogn"))
     entropy = (F.ln("all") - F.col("nlogn") / F.col("all")) / F.ln("all")
-    low = nodes.where(F.col("all") >= FEW).withColumn("entropy", F.greatest(F.lit(0.0), entropy)).where(F.col("entropy") < LEAST / (2 * OWN))
+    low = nodes.where(F.col("pages") >= FEW).withColumn("entropy", F.greatest(F.lit(0.0), entropy)).where(F.col("entropy") < LEAST / (2 * OWN))
     return low.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("path", "entropy"))).alias("paths"))
 
 

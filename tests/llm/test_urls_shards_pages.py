@@ -207,6 +207,16 @@ def test_templates_without_articles_by_entropy(spark, most):
     assert T.extract(spark.createDataFrame([], PAGES)).collect() == []
 
 
+def test_copies_of_a_page_count_once(spark):
+    """Text that a host has many copies of stays; what different pages share goes."""
+    page = lambda kind, text: f"<html><body><div class='{kind}'><p>{text}</p></div><div class='zq'><p>Same line of the host</p></div></body></html>"
+    rows = [(f"http://h.example/{i}", page("copied", "The one text that was copied")) for i in range(9)]
+    rows += [(f"http://h.example/x{i}", page("other", f"Text number {i} and its own words {i * i}")) for i in range(6)]
+    got = {r.url: r.hushframe_text for r in T.extract(spark.createDataFrame(rows, "url string, html string")).collect()}
+    assert got["http://h.example/0"] == "The one text that was copied"
+    assert got["http://h.example/x3"] == "Text number 3 and its own words 9"
+
+
 def test_extraction_keeps_other_columns(spark):
     df = spark.createDataFrame([(1, "u", "<p>x</p>", "h", 3)], "page_id long, url string, html string, host string, paths int")
     out = T.extract(df)
