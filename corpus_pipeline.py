@@ -44,7 +44,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's ids, and whether they decode to its text."""
+    """The number and a digest of every document's ids, and whether they decode to its text; the ids are not returned."""
     ship(spark)
     return sentencepiece_codec.round_trip(docs)
 
