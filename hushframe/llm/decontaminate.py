@@ -12,9 +12,13 @@ The benchmark is read in blocks of at most ``block_windows`` windows.  A block i
 what is broadcast, so its size is bounded whatever the benchmark's; documents are
 matched with one block after another.
 
+Words are compared by 64-bit hashes, not by their bytes: a window counts as found when
+the hashes of all its words are, in order.
+
 Defined results: null and empty texts have no words and no hits; an item without
 words has no window; items with equal ids are one item; repeated documents get
-equal rows; an empty benchmark leaves every document clean.
+equal rows; an empty benchmark leaves every document clean; columns named like those
+that are added are replaced in what matched() returns, and kept by clean_documents().
 """
 
 from __future__ import annotations
@@ -88,14 +92,14 @@ def item_windows(item_text: bytes, size: int = SIZE) -> list[np.ndarray]:
 
 
 def blocks_of(benchmark: DataFrame, item: str, text: str, size: int, most: int) -> Iterator[list[tuple[str, np.ndarray]]]:
-    """Lists of at most ``most`` windows (or of one item), read from the table one partition at a time."""
+    """Lists of at most ``most`` windows, read from the table one partition at a time; an item of more is spread over several lists."""
     block: list[tuple[str, np.ndarray]] = []
-    for row in benchmark.select(F.col(item).cast("string"), F.col(text)).toLocalIterator():
-        own = [(row[0] if row[0] is not None else "", run) for run in item_windows((row[1] or "").encode(errors="surrogatepass"), size)]
-        if block and len(block) + len(own) > most:
-            yield block
-            block = []
-        block += own
+    for row in benchmark.select(F.col(f"`{item}`").cast("string"), F.col(f"`{text}`")).toLocalIterator():
+        for run in item_windows((row[1] or "").encode(errors="surrogatepass"), size):
+            block.append((row[0] if row[0] is not None else "", run))
+            if len(block) == most:
+                yield block
+                block = []
     if block:
         yield block
 
@@ -121,8 +125,8 @@ def word_counts(docs: DataFrame, text: str, wanted: np.ndarray) -> dict[int, int
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(names[some].view(np.int64)), pa.array(total[some])], names=["word", "n"])
 
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {int(np.int64(x["word"]).view(np.uint64)): x["n"] for x in rows.collect()}
+    rows = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    return dict(zip(rows.column(0).to_numpy().view(np.uint64).tolist(), rows.column(1).to_pylist(), strict=True))
 
 
 def matched(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", item_text: str = "text", size: int = SIZE, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
@@ -132,6 +136,7 @@ def matched(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item:
     """
     spark = docs.sparkSession
     own = {x: f"hushframe_{x}" for x in ("n_words", "items", "spans")}
+    docs = docs.select([F.col(f"`{x}`") for x in docs.columns if x not in own.values()])
     out, cast = docs.withColumns({own["n_words"]: F.lit(0).cast("long"), own["items"]: F.array().cast("array<string>"), own["spans"]: F.array().cast("array<bigint>")}), T.StructType
     blocks = 0
 
@@ -185,8 +190,17 @@ def contaminated() -> Column:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents without the contaminated ones; columns as they were."""
-    return matched(docs, benchmark, **options).where(~contaminated()).select([F.col(f"`{x}`") for x in docs.columns])
+    """The documents in which no benchmark window occurs; columns as they were.
+
+    One window is enough for a document to go, whatever share of its words that is
+    (contaminated() is the milder flag), so that none is left in what stays.
+    """
+    kept = [F.col(f"`{x}`") for x in docs.columns]
+    own = ("hushframe_n_words", "hushframe_items", "hushframe_spans")
+    # Columns of the same names as matched() adds are put aside.
+    aside = docs.withColumnsRenamed({x: f"hushframe_aside_{x}" for x in docs.columns if x in own})
+    clean = matched(aside, benchmark, **options).where(F.size("hushframe_spans") == 0).select([F.col(f"`{x}`") for x in aside.columns])
+    return clean.withColumnsRenamed({f"hushframe_aside_{x}": x for x in own}).select(kept)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[int]:
@@ -201,6 +215,7 @@ def merged(spans: list[tuple[int, int]]) -> list[int]:
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """For every document its words, those inside benchmark windows, the items found and the flag."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = matched(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     items = F.col("hushframe_items")
