@@ -8,7 +8,14 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hushframe.session import on_one_machine
+
+#: Keys that spread_join() may send to every task.
+HOT_KEYS = 10_000
 
 _own: list[str] = []
 
@@ -18,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not on_one_machine(spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="hushframe-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -43,15 +52,68 @@ def clean(spark: SparkSession) -> None:
     delete(spark, own_dir(spark))
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it back: its lineage ends there, and any executor can be lost."""
+#: Rows of one written file of a table whose size is known.
+FILE_ROWS = 100_000
+
+
+def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write a table into the shared folder and read it back: its lineage ends there, and any executor can be lost.
+
+    ``rows``: the number of its rows, about; small tables then become few files.
+    """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    out = df if rows is None else df.coalesce(rows // FILE_ROWS + 1)
+    out.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def cut_small(df: DataFrame, name: str) -> DataFrame:
+    """As cut(), for a table that may be small: it is counted first."""
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cut(kept, name, kept.count())
+    kept.unpersist()
+    return out
+
+
+def hold(df: DataFrame) -> DataFrame:
+    """Make a table now and keep it on the executors: for small steps between tables that cut() wrote.
+
+    Its lineage stays, so a part that is lost with an executor is made again; the plan
+    must be one that gives the same rows each time.  Not for loops: plans of plans grow.
+    """
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df.count()
+    return df
+
+
+def release(*tables: DataFrame) -> None:
+    """Forget tables of hold() that are no longer read."""
+    for table in tables:
+        table.unpersist()
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by cut() that are no longer read."""
     for table in tables:
         for name in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
             delete(table.sparkSession, name)
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, weight: str, how: str = "inner", most: int = HOT_KEYS) -> DataFrame:
+    """rows joined with a table of one row for each key (a long), of which ``weight`` rows have it.
+
+    Keys with more than 1 / ``most`` of all rows, of which there are fewer than ``most``,
+    go to every task, and their rows stay where they are; so no task gets more than that
+    share by one key.  The table is read several times: cut() or hold() it before.
+    """
+    names = [c for c in table.columns if c != key]
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    hot = table.where(F.col(weight) > total / most).select(key, F.struct(*names).alias("spread_hot"))
+    # Rows whose key is found already are dealt out by all of their columns; that this is some key does not matter.
+    apart = F.when(F.col("spread_hot").isNull(), F.col(key)).otherwise(F.xxhash64(*rows.columns))
+    cold = table.select(F.col(key).alias("spread_key"), F.struct(*names).alias("spread_cold"))
+    both = rows.join(F.broadcast(hot), key, "left").withColumn("spread_key", apart).join(cold, "spread_key", "left")
+    found = both.withColumn("spread_found", F.coalesce("spread_hot", "spread_cold"))
+    if how == "inner":
+        found = found.where("spread_found IS NOT NULL")
+    return found.select(*rows.columns, "spread_found.*")

@@ -1,29 +1,39 @@
 """Main text of pages by site style trees.
 
 Every page is parsed into a tree of block elements; an element's name is its tag with
-its classes, id and role.  Trees of one host are merged by path (the names from the
-root down): for every path the merged tree holds how often each presentation (the
-sequence of child names, repeats as one) with its content (digest of the text in it)
-occurred.
-
-The importance of a node is the entropy of its presentations and contents, as a share
-of the largest entropy that as many occurrences can have, mixed with what its own
-presentation says: an article is important whatever its entropy, an element that is a
-menu, advert, footer, form, notice, comment section and the like by its tag, role or
-class names is not, and where a page has an article, what lies outside is not.
-Branches whose importance is below ``LEAST`` are removed from each page; the rest
-gives one line for each block.
-
-A host's merged tree is aggregated by path and digest, so a host with very many pages
-is never in one task; only paths of little entropy, at most a template's few, are
-brought back to the pages.  While these are small (their size is measured) they go to
-every task and pages are not moved; beyond that they are joined on the host and a salt,
-so that a host's pages are spread over ``SALTS`` keys.
-
-Defined results: a null or empty page has empty text; a page without an article is
-judged by entropy and names alone; paths seen in fewer than ``FEW`` different pages of
-a host are kept unless their names speak against them; unclosed and stray tags are
-closed as browsers do in the common cases; copies of a page on a host count once.
+its classes, id and role.  The trees of one host, inside articles too, are merged by
+path (the names from the root down).  A node of the merged tree holds the number of
+pages that have it, its presentations (the sequence of child names, repeats as one) and
+its contents (the lines of text in it), each with the number of pages it is on.
+
+The importance of a line is that of its content, ln(pages / pages with the line) /
+ln(pages): 1 for what is on one page, 0 for what is on all.  What is missing to 1 is
+made up in part by the entropy of the node's presentations, the more the more of them
+there are (a share of 1 - ``GAMMA`` ** presentations).  It is multiplied by a prior that
+the element's own presentation gives, and a line below ``LEAST`` is removed:
+
+- an article's or main's lines count ``ARTICLE`` times, so that only what nearly all
+  pages repeat goes;
+- other lines count once;
+- lines under a name that holds a telling word among others (share-price,
+  notice-of-motion), and lines outside the article of a page that has one, count
+  ``DOUBTFUL``: entropy keeps them if it is high;
+- what names alone tell (nav, footer, a class ad, comments or cookie-notice) counts 0:
+  comments and adverts differ from page to page as text does, which entropy cannot see.
+
+A path that fewer than ``FEW`` different pages have tells nothing; there lines outside an
+article go and all others stay.
+
+Lines are counted by path and digest, so a host with very many pages is never in one
+task; only lines whose verdict is not the usual one of their sort are brought back to
+the pages, as 64-bit digests of host, path, sort and text.  While there are at most
+``BROADCAST_LINES`` of them (counted) they go to every task; beyond that each page is
+joined with its own.
+
+Defined results: a null or empty page has empty text; a null or odd URL is of the host
+without a name; copies of a page on a host count once, and all get the same text;
+unclosed and stray tags are closed as browsers do in the common cases; nesting may be of
+any depth; columns named like the one that is added are replaced.
 """
 
 from __future__ import annotations
@@ -32,24 +42,29 @@ import hashlib
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from hushframe.llm.shared import cut
+from hushframe.llm.shared import cut, spread_join
+from hushframe.llm.textbytes import releasing
 from hushframe.llm.url_filter import host_and_path
 
 LEAST = 0.3
 FEW = 4
-#: Bytes of paths up to which they are broadcast, and beyond that the keys that a host is spread over.
-BROADCAST_BYTES = 4 << 20
-SALTS = 64
-#: Elements deeper than this are text of the one above, as in browsers.
-DEPTH = 400
-#: What an element's own presentation says counts as much as its entropy.
-OWN = 0.5
+GAMMA = 0.9
+ARTICLE = 6.0
+DOUBTFUL = 0.375
+#: Lines (8 bytes each) up to which they go to every task, and the copied pages up to which their counts do.
+BROADCAST_LINES = 250_000
+BROADCAST_COPIES = 500_000
+#: Sorts of rows of the merged tree: a page has the path, a presentation, and lines by their prior.
+PAGE, PRESENTATION, NEUTRAL, INSIDE, NAMED, OUTSIDE = range(6)
+PRIOR = {NEUTRAL: 1.0, INSIDE: ARTICLE, NAMED: DOUBTFUL, OUTSIDE: DOUBTFUL}
 
 #: HTML elements that make blocks, and those whose content is never text.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -61,8 +76,10 @@ ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search aler
 ASIDE_NAMES = frozenset("ad adbox ads adsense adslot adv advert adverts advertisement advertising alert announcement announcements aside breadcrumb breadcrumbs comment comments commentlist consent cookie cookies discussion disqus footer form gdpr login menu modal nav navbar navigation newsletter notice notices notification notifications pager pagination popup promo promoted promotion related replies reply respond search searchbox share sharing sidebar sidenav signup skip social sponsor sponsored submenu subscribe subscription toc toolbar topbar widget widgets".split())
 #: The same, but part of an article if they are inside one.
 HEADER_NAMES = frozenset("header masthead banner".split())
+#: Words that tell of an element's place or form only: with these a telling word stays what it is.
+LAYOUT = frozenset("area article articles bar block body bottom box button buttons card center column container content cookies desktop element end entry feed global group grid head header heading holder horizontal icon icons id inline inner item items large latest left link links list lists main mobile module more outer page panel post posts primary reader readers recent right row secondary section site slot small sticky story tab tabs text thread title top unit user users vertical view web wide wrap wrapper zone".split())
 #: An article's own class says less: only these, as whole words, make it none.
-NO_ARTICLE = frozenset("ad advert comment comments promo reply sponsored".split())
+NO_ARTICLE = frozenset("ad advert comment comments promo related reply sponsored teaser".split())
 #: A class that starts so tells of a page's or element's state.
 STATES = frozenset("has with without no is not hide show".split())
 ARTICLE_TAGS = frozenset(("article", "main"))
@@ -76,39 +93,50 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 
 
 class Node:
-    __slots__ = ("aside", "article", "children", "header", "name", "parts", "tag")
+    """One block element; ``gone``: names alone remove it, ``inside``: it is in an article, ``doubtful``: a name of it or above it may be telling."""
 
-    def __init__(self, tag: str, attributes: str = ""):
+    __slots__ = ("article", "children", "doubtful", "gone", "header", "inside", "name", "parts", "tag")
+
+    def __init__(self, tag: str, attributes: str = "", above: Node | None = None):
         self.tag, self.name, self.children, self.parts = tag, tag, [], []
-        self.aside, self.article, self.header = tag in ASIDE_TAGS, tag in ARTICLE_TAGS, tag == "header"
+        self.gone, self.article, self.header, self.doubtful = tag in ASIDE_TAGS, tag in ARTICLE_TAGS, tag == "header", False
         if attributes and not attributes.isspace():
             for key, *values in _ATTRIBUTE.findall(attributes):
                 key, value = key.lower(), "".join(values)
                 if key in ("class", "id"):
                     self.name += ("." if key == "class" else "#") + ".".join(value.split())
                     if self.article:
-                        self.aside |= not NO_ARTICLE.isdisjoint(value.lower().split())
+                        self.gone |= not NO_ARTICLE.isdisjoint(value.lower().split())
                     elif tag not in ("html", "body"):
                         self.name_says(value)
                 elif key == "role":
-                    self.aside |= value.lower() in ASIDE_ROLES
+                    self.gone |= value.lower() in ASIDE_ROLES
                     self.article |= value.lower() in ("main", "article")
                 elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _HIDES.search(value):
-                    self.aside = True
-
+                    self.gone = True
+        self.inside = self.article and not self.gone
+        if tag in ("html", "body"):
+            self.gone = False
+        if above is not None:
+            self.inside |= above.inside
+            self.doubtful |= above.doubtful
+            self.gone |= above.gone or (self.header and not self.inside)
 
     def name_says(self, value: str) -> None:
         for word in value.split():
             said = [x.lower() for x in _NAME.findall(word)]
             if said and said[0] not in STATES:
-                self.aside |= not ASIDE_NAMES.isdisjoint(said)
-                self.header |= not HEADER_NAMES.isdisjoint(said)
+                telling = [x for x in said if x in ASIDE_NAMES]
+                form = all(x in LAYOUT or x in HEADER_NAMES for x in said if x not in ASIDE_NAMES)
+                self.gone |= bool(telling) and form
+                self.doubtful |= bool(telling) and not form
+                self.header |= form and not HEADER_NAMES.isdisjoint(said)
 
 
-def parse(page: str) -> Node:
-    """The page's tree of block elements; parts are strings and child nodes in order."""
+def parse(page: str) -> tuple[Node, bool]:
+    """The page's tree of block elements, whose parts are strings and child nodes in order, and whether it has an article."""
     root = Node("#page")
-    stack, at, silent = [root], 0, 0
+    stack, at, silent, whole = [root], 0, 0, False
     for m in _TAG.finditer(page):
         if not silent and m.start() > at:
             stack[-1].parts.append(page[at : m.start()])
@@ -151,34 +179,20 @@ def parse(page: str) -> Node:
                     break
                 if stack[i].tag in ("td", "th", "li", "div", "section", "article"):
                     break
-        if len(stack) > DEPTH:
-            stack[-1].parts.append(" ")
-            continue
-        node = Node(tag, m.group(4))
+        node = Node(tag, m.group(4), stack[-1])
+        whole |= node.inside and not node.gone
         stack[-1].children.append(node)
         stack[-1].parts.append(node)
         stack.append(node)
     if not silent and at < len(page):
         stack[-1].parts.append(page[at:])
-    return root
+    return root, whole
 
 
 def block(parts: list[str]) -> str:
     return " ".join(html.unescape("".join(parts)).split())
 
 
-def lines(node: Node) -> Iterator[str]:
-    """The text blocks that lie in the node itself, between its child nodes."""
-    held: list[str] = []
-    for part in node.parts:
-        if isinstance(part, str):
-            held.append(part)
-        else:
-            yield block(held) if held else ""
-            held = []
-    yield block(held) if held else ""
-
-
 def presentation(node: Node) -> str:
     """The names of the children, a run of equal ones as one."""
     out: list[str] = []
@@ -188,119 +202,164 @@ def presentation(node: Node) -> str:
     return " ".join(out)
 
 
-def has_article(node: Node) -> bool:
-    return any((child.article and not child.aside) or has_article(child) for child in node.children)
-
-
-def occurrences(root: Node) -> Iterator[tuple[str, int]]:
-    """(path, digest) of all nodes: of a node's presentation, its own lines and its children's digests."""
-    found: list[tuple[str, int]] = []
+def digest(*parts: bytes) -> bytes:
+    return hashlib.blake2b(b"\0".join(parts), digest_size=8).digest()
 
-    def visit(node: Node, path: str) -> bytes:
-        below = [visit(child, f"{path}/{child.name}" if path else child.name) for child in node.children]
-        own = hashlib.blake2b(f"{presentation(node)}\n{chr(10).join(lines(node))}".encode("utf-8", "surrogatepass"), digest_size=8)
-        for digest in below:
-            own.update(digest)
-        found.append((path, int.from_bytes(own.digest(), "little", signed=True)))
-        return own.digest()
 
-    visit(root, "")
-    return iter(found[:-1])
+def as_long(raw: bytes) -> int:
+    return int.from_bytes(raw, "little", signed=True)
 
 
-def importance(node: Node, entropy: float, in_article: bool, page_has_article: bool) -> float:
-    """Between 0 and 1, from the merged tree's entropy (1 if unknown) and the node's own presentation."""
-    if node.aside or (node.header and not in_article):
-        return 0.0
-    if in_article or (node.article and not node.aside):
-        return 1.0
-    own = 0.0 if page_has_article else 1.0
-    return OWN * own + (1 - OWN) * entropy if own == 0 else min(1.0, 2 * OWN * entropy)
-
-
-def main_text(page: str, low: dict[str, float]) -> str:
-    """The lines of the branches that remain; low: entropies by path, where they are small."""
-    root = parse(page)
-    whole = has_article(root)
-    out: list[str] = []
-
-    def walk(node: Node, path: str, inside: bool) -> None:
-        spine = node.tag in ("#page", "html", "body") or (whole and not inside and has_article(node))
-        if not spine and importance(node, 0.0 if whole and not inside else low.get(path, 1.0), inside, whole) < LEAST:
-            return
-        inside = inside or (node.article and not node.aside)
-        own = [] if whole and not inside else list(lines(node))
-        for i in range(len(node.children) + 1):
-            if own and own[i]:
-                out.append(own[i])
-            if i < len(node.children):
-                child = node.children[i]
-                walk(child, f"{path}/{child.name}" if path else child.name, inside)
+def walk(page: str, host: str) -> Iterator[tuple[bytes, Node | None, int, str]]:
+    """What names alone do not remove, in page order: (path, node, PAGE, "") for each element, (path, None, sort, line) for each line."""
+    root, whole = parse(page)
+    paths: dict[tuple[bytes, str], bytes] = {}
+    top = digest(host.encode("utf-8", "surrogatepass"))
+    yield top, root, PAGE, ""
+    stack = [(root, top, iter(root.parts))]
+    held: list[str] = []
+    while stack:
+        node, path, rest = stack[-1]
+        child = next(rest, None)
+        if isinstance(child, str):
+            held.append(child)
+            continue
+        line = block(held) if held else ""
+        held = []
+        if line:
+            yield path, None, NAMED if node.doubtful and (node.inside or not whole) else INSIDE if node.inside else OUTSIDE if whole else NEUTRAL, line
+        if child is None:
+            stack.pop()
+        elif not child.gone:
+            key = (path, child.name)
+            below = paths.get(key)
+            if below is None:
+                below = paths[key] = digest(path, child.name.encode("utf-8", "surrogatepass"))
+            yield below, child, PAGE, ""
+            stack.append((child, below, iter(child.parts)))
+
+
+def line_key(path: bytes, sort: int, line: str) -> int:
+    return as_long(digest(path, bytes([sort]), line.encode("utf-8", "surrogatepass")))
+
+
+def main_text(page: str, turned: Container[int], host: str = "") -> str:
+    """The lines that remain; turned: keys of the lines whose verdict is not the usual one of their sort."""
+    return "\n".join(line for path, node, sort, line in walk(page, host) if node is None and (sort == OUTSIDE) == (line_key(path, sort, line) in turned))
+
+
+def tree_rows(page: str, host: str) -> set[tuple[int, int, int]]:
+    """(path, kind, value) of all nodes of a page, each once."""
+    out = set()
+    for path, node, sort, line in walk(page, host):
+        at = as_long(path)
+        if node is None:
+            out.add((at, sort, line_key(path, sort, line)))
+        else:
+            out.add((at, PAGE, 0))
+            out.add((at, PRESENTATION, as_long(digest(presentation(node).encode("utf-8", "surrogatepass")))))
+    return out
 
-    walk(root, "", False)
-    return "\n".join(out)
 
+def keyed_pages(pages: DataFrame, url: str, page: str) -> DataFrame:
+    """The pages with hf_host, hf_page (the whole html, never null) and hf_key (equal for copies on a host)."""
+    host = host_and_path(F.coalesce(F.col(f"`{url}`"), F.lit("")))[0]
+    return pages.withColumns({"hf_host": host, "hf_page": F.coalesce(F.col(f"`{page}`"), F.lit(""))}).withColumn("hf_key", F.xxhash64("hf_host", "hf_page"))
 
-def merged_tree(pages: DataFrame) -> DataFrame:
-    """From (host, html), the entropies of paths with little of it: (host, paths map<string, double>).
 
-    Paths inside an article, or under a branch that names alone remove, need no entropy and are left out.
-    """
+def merged_tree(keyed: DataFrame) -> DataFrame:
+    """From keyed_pages(): (path, kind, value, n), n the number of different pages of the path's host that have it."""
+    copies = cut(keyed.groupBy("hf_key").agg(F.count("*").alias("c")).where("c > 1"), "copies")
+    few = copies.count() <= BROADCAST_COPIES
+    rows = keyed.select("hf_host", "hf_page", "hf_key").join(F.broadcast(copies) if few else copies, "hf_key", "left").select("hf_host", "hf_page", F.coalesce("c", F.lit(1)).alias("c"))
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             total: Counter = Counter()
-            places: Counter = Counter()
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                root = parse(page or "")
-                if not has_article(root):
-                    found = [(host, path, digest) for path, digest in occurrences(root)]
-                    total.update(found)
-                    # A page counts once for each of its paths.
-                    places.update({key[1]: key for key in found}.values())
-            keys = list(total)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], type=pa.string()), pa.array([k[1] for k in keys], type=pa.string()), pa.array([k[2] for k in keys], type=pa.int64()), pa.array([total[k] for k in keys], type=pa.int64()), pa.array([places[k] for k in keys], type=pa.int64())], names=["host", "path", "digest", "n", "pages"])
-
-    page = F.coalesce("html", F.lit(""))
-    once = pages.groupBy("host", F.md5(page).alias("page")).agg(F.first(page).alias("html")).select("host", "html")
-    rows = once.mapInArrow(run, "host string, path string, digest long, n long, pages long")
-    each = rows.groupBy("host", "path", "digest").agg(F.sum("n").alias("n"), F.sum("pages").alias("pages"))
-    n = F.col("n").cast("double")
-    nodes = each.groupBy("host", "path").agg(F.sum("n").alias("all"), F.sum("pages").alias("pages"), F.sum(n * F.ln(n)).alias("nlogn"))
-    entropy = (F.ln("all") - F.col("nlogn") / F.col("all")) / F.ln("all")
-    low = nodes.where(F.col("pages") >= FEW).withColumn("entropy", F.greatest(F.lit(0.0), entropy)).where(F.col("entropy") < LEAST / (2 * OWN))
-    return low.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("path", "entropy"))).alias("paths"))
-
-
-def with_paths(pages: DataFrame, low: DataFrame, most: int) -> DataFrame:
-    """The pages, by hushframe_host, and hushframe_paths, null for hosts without any."""
-    low = low.select(F.col("host").alias("hushframe_host"), F.col("paths").alias("hushframe_paths"))
-    entry_bytes = F.aggregate(F.map_keys("hushframe_paths"), F.lit(64).cast("long"), lambda a, k: a + F.octet_length(k) + 64)
-    size = low.agg(F.coalesce(F.sum(entry_bytes + F.octet_length("hushframe_host")), F.lit(0))).first()[0]
-    if size <= most:
-        return pages.join(F.broadcast(low), "hushframe_host", "left")
-    salted = pages.withColumn("hushframe_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
-    spread = low.withColumn("hushframe_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return salted.join(spread, ["hushframe_host", "hushframe_salt"], "left").drop("hushframe_salt")
-
-
-def extract(pages: DataFrame, *, url: str = "url", page: str = "html", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+            for host, page, c in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                # Each of c copies counts 1 / c.
+                for row in tree_rows(page, host):
+                    total[row] += 1 / c
+            columns = list(zip(*total, strict=True)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], type=pa.int64()), pa.array(columns[1], type=pa.int32()), pa.array(columns[2], type=pa.int64()), pa.array(list(total.values()), type=pa.float64())], names=["path", "kind", "value", "n"])
+
+    return rows.mapInArrow(run, "path long, kind int, value long, n double").groupBy("path", "kind", "value").agg(F.round(F.sum("n"), 3).alias("n"))
+
+
+def importance(tree: DataFrame) -> DataFrame:
+    """(kind, value, n, importance) for the lines of merged_tree() that are on more than one page or outside an article, on paths of ``FEW`` pages or more."""
+    n = F.col("n")
+    shown = F.col("kind") == PRESENTATION
+    nodes = tree.groupBy("path").agg(
+        F.sum(F.when(F.col("kind") == PAGE, n)).alias("pages"),
+        F.count_if(shown).alias("presentations"),
+        F.sum(F.when(shown, n)).alias("all"),
+        F.sum(F.when(shown, n * F.ln(n))).alias("nlogn"),
+        F.count_if(F.col("kind") > PRESENTATION).alias("lines"),
+    )
+    entropy = F.greatest(F.lit(0.0), (F.ln("all") - F.col("nlogn") / F.col("all")) / F.ln("all"))
+    nodes = nodes.where((F.col("pages") >= FEW) & (F.col("lines") > 0)).select("path", "pages", "lines", ((1 - F.pow(F.lit(GAMMA), "presentations")) * entropy).alias("by_presentation"))
+    some = tree.where((F.col("kind") > PRESENTATION) & ((n > 1) | (F.col("kind") == OUTSIDE)))
+    by_content = F.ln(F.col("pages") / n) / F.ln("pages")
+    rows = spread_join(some, cut(nodes, "tree_nodes"), "path", "lines").withColumn("c", F.greatest(F.lit(0.0), by_content))
+    return rows.select("kind", "value", "n", (F.col("c") + (1 - F.col("c")) * F.col("by_presentation")).alias("importance"))
+
+
+def turned_lines(lines: DataFrame) -> DataFrame:
+    """(value, n) of the lines of importance() whose verdict is not the usual one: outside an article they stay, else they go."""
+    weight = F.lit(0.0)
+    for kind, prior in PRIOR.items():
+        weight = F.when(F.col("kind") == kind, prior).otherwise(weight)
+    return lines.where((weight * F.col("importance") < LEAST) != (F.col("kind") == OUTSIDE)).groupBy("value").agg(F.max("n").cast("long").alias("n"))
+
+
+def extract(pages: DataFrame, *, url: str = "url", page: str = "html", broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """The pages' columns without the markup, and hushframe_text string."""
-    host = host_and_path(F.coalesce(F.col(f"`{url}`"), F.lit("")))[0]
-    low = merged_tree(pages.select(host.alias("host"), F.col(f"`{page}`").alias("html")))
-    names = [x for x in pages.columns if x != page]
-    joined = with_paths(pages.withColumn("hushframe_host", host), cut(low, "low_entropy"), broadcast_bytes)
+    inner = {x: f"hf_c{i}" for i, x in enumerate(pages.columns)}
+    keyed = keyed_pages(pages.toDF(*inner.values()), inner[url], inner[page])
+    turned = cut(turned_lines(importance(cut(merged_tree(keyed), "style_tree"))), "turned_lines")
+    names = [x for x in pages.columns if x not in (page, "hushframe_text")]
+    rows = keyed.select(*(inner[x] for x in names), "hf_host", "hf_page", "hf_key")
+    held = None
+    if turned.count() <= broadcast_lines:
+        held = pages.sparkSession.sparkContext.broadcast(np.sort(turned.select("value").toArrow().column(0).to_numpy()))
+        rows = rows.withColumn("hf_turned", F.array().cast("array<long>"))
+    else:
+        rows = spread_join(rows, own_lines(keyed, turned), "hf_key", "hf_copies", "left").withColumn("hf_turned", F.coalesce("hf_turned", F.array().cast("array<long>")))
+
+    @releasing
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        everywhere = frozenset(held.value.tolist()) if held is not None else None
+        for batch in batches:
+            columns = [batch.column(x).to_pylist() for x in ("hf_page", "hf_host", "hf_turned")]
+            texts = [main_text(x, everywhere if everywhere is not None else frozenset(own), host) for x, host, own in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(inner[x]) for x in names), pa.array(texts, type=pa.string())], names=[*(inner[x] for x in names), "hushframe_text"])
+
+    schema = T.StructType([*(T.StructField(inner[x], pages.schema[x].dataType) for x in names), T.StructField("hushframe_text", T.StringType())])
+    return rows.select(*(inner[x] for x in names), "hf_host", "hf_page", "hf_turned").mapInArrow(run, schema).toDF(*names, "hushframe_text")
+
+
+def own_lines(keyed: DataFrame, turned: DataFrame) -> DataFrame:
+    """(hf_key, hf_turned array<long>, hf_copies): those of the turned lines that each page has; at most as many as its lines."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            trees = [dict(x or ()) for x in batch.column("hushframe_paths").to_pylist()]
-            texts = [main_text(x or "", low) for x, low in zip(batch.column(page).to_pylist(), trees, strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in names), pa.array(texts, type=pa.string())], names=[*names, "hushframe_text"])
+            keys, values = [], []
+            for host, page, key in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                own = [value for _, kind, value in tree_rows(page, host) if kind > PRESENTATION]
+                keys += [key] * len(own)
+                values += own
+            yield pa.RecordBatch.from_arrays([pa.array(keys, type=pa.int64()), pa.array(values, type=pa.int64())], names=["hf_key", "value"])
 
-    schema = "".join(f"`{x}` {pages.schema[x].dataType.simpleString()}, " for x in names) + "hushframe_text string"
-    return joined.select(*(F.col(f"`{x}`") for x in names), F.col(f"`{page}`"), "hushframe_paths").mapInArrow(run, schema)
+    each = keyed.select("hf_host", "hf_page", "hf_key").mapInArrow(run, "hf_key long, value long")
+    copies = keyed.groupBy("hf_key").agg(F.count("*").alias("hf_copies"))
+    lists = spread_join(each, turned, "value", "n").groupBy("hf_key").agg(F.collect_set("value").alias("hf_turned"))
+    return cut(lists.join(copies, "hf_key"), "own_lines")
 
 
 def op3_html_extraction(spark, sf_dir: str) -> DataFrame:
+    """The main text of every page, and its length in code points."""
     out = extract(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
     return out.select("page_id", "url", F.col("hushframe_text").alias("text"), F.char_length("hushframe_text").cast("long").alias("n_chars"))

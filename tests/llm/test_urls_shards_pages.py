@@ -20,6 +20,7 @@ from hushframe.llm import site_tree as T
 from hushframe.llm import url_filter as U
 from hushframe.llm import warc as A
 from hushframe.llm.registry import ORACLE_SQL, QUERIES
+from hushframe.llm.shared import cut
 
 PAGES = "page_id long, url string, html string"
 
@@ -197,11 +198,11 @@ def test_pages_of_the_corpus(spark, sf_dir):
         assert r.text == plain_article(pages[r.page_id].html) and r.n_chars == len(r.text) and r.url == pages[r.page_id].url
 
 
-@pytest.mark.parametrize("most", [T.BROADCAST_BYTES, 0])
+@pytest.mark.parametrize("most", [T.BROADCAST_LINES, 0])
 def test_templates_without_articles_by_entropy(spark, most):
     page = lambda i: f"<body><div id=top>Welcome to the site</div><div id=x><p>Story {i} of its own kind</p><p>More of {i}</p></div><div id=end>All rights kept</div></body>"
     rows = [(i, f"http://a.b/{i}", page(i)) for i in range(20)] + [(100, "http://c.d/", page(1)), (101, None, None), (102, "", ""), (103, "x", page(2))]
-    out = {r.page_id: r.hushframe_text for r in T.extract(spark.createDataFrame(rows, PAGES), broadcast_bytes=most).collect()}
+    out = {r.page_id: r.hushframe_text for r in T.extract(spark.createDataFrame(rows, PAGES), broadcast_lines=most).collect()}
     assert all(out[i] == f"Story {i} of its own kind\nMore of {i}" for i in range(20))
     assert out[100].split("\n")[0] == "Welcome to the site" and out[101] == "" and out[102] == ""
     assert T.extract(spark.createDataFrame([], PAGES)).collect() == []
@@ -217,10 +218,47 @@ def test_copies_of_a_page_count_once(spark):
     assert got["http://h.example/x3"] == "Text number 3 and its own words 9"
 
 
+@pytest.mark.parametrize("most", [T.BROADCAST_LINES, 0])
+def test_the_merged_tree_decides_inside_articles_too(spark, most):
+    """Boilerplate without a telling name goes, a telling name that is none stays, and text outside the article stays if it differs."""
+    page = lambda i: (
+        f"<body><div class=q0>Of the site</div><div class=lead><p>Lead of story {i} {i * i}</p></div><article><h1>Title {i}</h1><p>Story {i} and {i * 7}</p><p>Le.</p>"
+        f"<div class=q1><p>Read this site every day</p></div><div class=share-price><p>Price on day {i}</p></div><div class=share-bar>Share {i}</div><div class=notice-of-terms><p>Terms hold</p></div></article><div class=comments><p>Reader {i} says {i * 3}</p></div></body>"
+    )
+    rows = [(i, f"http://a.b/{i}", page(i).replace("<p>Le.</p>", "<p>Le.</p>" * (i % 4 > 0))) for i in range(20)]
+    got = {r.page_id: r.hushframe_text for r in T.extract(spark.createDataFrame(rows, PAGES), broadcast_lines=most).collect()}
+    for i in range(20):
+        assert got[i].split("\n") == [f"Lead of story {i} {i * i}", f"Title {i}", f"Story {i} and {i * 7}", *["Le."] * (i % 4 > 0), f"Price on day {i}"]
+    # Without the merged tree the article and the names alone would decide.
+    assert T.main_text(page(3), {}).split("\n") == ["Title 3", "Story 3 and 21", "Le.", "Read this site every day", "Price on day 3", "Terms hold"]
+
+
+def test_importance_against_plain_loops(spark):
+    pages = [f"<body><div><p>{'same' if i < 6 else f'own {i}'}</p>{'<ul><li>x</ul>' * (i % 2)}</div></body>" for i in range(9)]
+    docs = spark.createDataFrame([(f"http://h/{i}", p) for i, p in enumerate([*pages, pages[0], pages[8]])], "url string, html string")
+    got = {r.n: r.importance for r in T.importance(cut(T.merged_tree(T.keyed_pages(docs, "url", "html")), "tree")).where(F.col("n") > 3).collect()}
+    # Different pages: pages 0, 2, 4 are copies of each other, and 1, 3, 5 are, so five remain; two have the line "same".
+    assert got == {}
+    more = [f"<body><p>{'same' if i < 6 else f'own {i}'}</p><hr title={i}><h2>{i}</h2></body>" for i in range(9)]
+    docs = spark.createDataFrame([(f"http://h/{i}", p) for i, p in enumerate([*more, more[0]])], "url string, html string")
+    got = [(r.n, r.importance) for r in T.importance(cut(T.merged_tree(T.keyed_pages(docs, "url", "html")), "tree")).collect()]
+    assert [n for n, _ in got] == [6] and abs(got[0][1] - math.log(9 / 6) / math.log(9)) < 1e-9
+
+
+def test_pages_that_names_misread():
+    page = "<article><div class='notice-of-motion'><p>Body text</p></div><div class='share-price'><p>More body</p></div></article>"
+    assert T.main_text(page, {}) == "Body text\nMore body"
+    page = "<body><div><p>The story</p></div><article class=teaser><p>Another story</p></article></body>"
+    assert T.main_text(page, {}) == "The story"
+    assert T.main_text("<article>" + "<div>" * 420 + "<p>a</p><p>b</p>" + "</div>" * 420 + "</article>", {}) == "a\nb"
+
+
 def test_extraction_keeps_other_columns(spark):
     df = spark.createDataFrame([(1, "u", "<p>x</p>", "h", 3)], "page_id long, url string, html string, host string, paths int")
     out = T.extract(df)
     assert out.columns == ["page_id", "url", "host", "paths", "hushframe_text"] and out.first()[:] == (1, "u", "h", 3, "x")
+    odd = T.extract(spark.createDataFrame([("u", "<p>x</p>", "h", 1, 2, "t")], "url string, html string, hf_host string, `hf_key` int, `a.b` int, hushframe_text string"))
+    assert odd.columns == ["url", "hf_host", "hf_key", "a.b", "hushframe_text"] and odd.first()[:] == ("u", "h", 1, 2, "x")
 
 
 def test_warc_round_trip(spark):
