@@ -39,12 +39,12 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more of the words is in benchmark windows go."""
+    """Documents in which a benchmark window occurs go; the others are as they were."""
     return decontaminate.clean_documents(docs, ship(spark).read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The number and a digest of every document's ids, and whether they decode to its text; the ids are not returned."""
+    """Every document's ids, their number and digest, and whether they decode to its text and equal the library's."""
     ship(spark)
     return sentencepiece_codec.round_trip(docs)
 
