@@ -33,10 +33,12 @@ def _comparable_all(values: pd.Series) -> pd.Series:
 
 
 def normalized(values: Column, *, ascii_only: bool = False) -> Column:
-    """The comparable forms of an array of strings."""
+    """The comparable forms of an array of strings; only arrays that are not all ASCII go through Python."""
+    plain = F.transform(values, lambda x: F.trim(F.regexp_replace(F.lower(x), r"[\s\x1c-\x1f]+", " ")))
     if ascii_only:
-        return F.transform(values, lambda x: F.trim(F.regexp_replace(F.lower(x), r"[\s\x1c-\x1f]+", " ")))
-    return _comparable_all(values)
+        return plain
+    simple = F.forall(values, lambda x: F.octet_length(x) == F.char_length(x))
+    return F.coalesce(_comparable_all(F.when(~simple, values)), plain)
 
 
 def leet(value: Column) -> Column:
@@ -53,30 +55,35 @@ def compact(value: Column) -> Column:
     return F.regexp_replace(leet(value), "[^A-Za-z0-9]", "")
 
 
-def normalized_places(text: str, needle: str) -> list[tuple[int, int]]:
-    """Places of the needle in the text, overlapping ones too, when both are compared character by character in a common form."""
-
-    def folded(value: str) -> tuple[str, list[int]]:
-        out, at = [], []
-        for i, c in enumerate(value):
-            new = unicodedata.normalize("NFKC", c).translate(_CYRILLIC).casefold()
-            out.append(new)
-            at += [i] * len(new)
-        return "".join(out), at
-
-    where, at = folded(text)
-    what, _ = folded(needle)
+def folded_form(value: str) -> tuple[str, list[int] | None]:
+    """The value character by character in a common form, and the place that each character of that comes from (None: its own)."""
+    if value.isascii():
+        return value.lower(), None
+    out, at = [], []
+    for i, c in enumerate(value):
+        new = c.lower() if c < "\x80" else unicodedata.normalize("NFKC", c).translate(_CYRILLIC).casefold()
+        out.append(new)
+        at += [i] * len(new)
+    return "".join(out), at
+
+
+def normalized_places(text: tuple[str, list[int] | None], needle: str) -> list[tuple[int, int]]:
+    """Places of the needle in a text that folded_form() gave, overlapping ones too, when both are compared in the common form."""
+    where, at = text
+    what, _ = folded_form(needle)
     found, start = [], where.find(what) if what else -1
     while start >= 0:
-        found.append((at[start], at[start + len(what) - 1] + 1))
+        last = start + len(what) - 1
+        found.append((start, last + 1) if at is None else (at[start], at[last] + 1))
         start = where.find(what, start + 1)
     return found
 
 
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))))
 def normalized_places_all(text: pd.Series, needles: pd.Series) -> pd.Series:
-    """For each needle of a row, its places in the row's text."""
+    """For each needle of a row, its places in the row's text, which is folded once."""
     rows = []
     for value, some in zip(text, needles, strict=True):
-        rows.append([[{"start": a, "end": b} for a, b in normalized_places(value or "", x or "")] for x in (some if some is not None else [])])
+        form = folded_form(value or "")
+        rows.append([[{"start": a, "end": b} for a, b in normalized_places(form, x or "")] for x in (some if some is not None else [])])
     return pd.Series(rows)

@@ -77,18 +77,22 @@ def verified(rows: DataFrame, *, safe: str = "safe_text", canaries: str | None =
     values = F.transform(of(canaries), lambda c: F.coalesce(c, F.lit("")))
     shown = F.col(entries) if entries else F.array().cast("array<struct<field_type:string,original_value:string,original_sha256:string,placeholder:string>>")
     shown = F.coalesce(shown, F.array())
-    originals = F.transform(shown, lambda e: e["original_value"])
-    bare = without_placeholders(text)
-    zero = once(rows, {"hf_text": text, "hf_bare": bare, "hf_values": values, "hf_kinds": of(kinds), "hf_entries": shown, "hf_strings": F.concat(F.array(text, bare), values, originals)})
+    # Forms, words and numbers are needed only where there is something to look for.
+    needed = lambda some, value, kind: F.when(some, value).otherwise(F.array().cast(kind))
+    planted = F.size("hf_values") > 0
+    first = once(rows, {"hf_text": text, "hf_values": values, "hf_kinds": of(kinds), "hf_entries": shown})
+    zero = once(first, {"hf_bare": F.when(planted, without_placeholders(F.col("hf_text")))})
+    originals = F.transform("hf_entries", lambda e: e["original_value"])
+    zero = once(zero, {"hf_strings": needed(planted | (F.size("hf_entries") > 0), F.concat(F.array("hf_text", F.coalesce("hf_bare", F.lit(""))), "hf_values", originals), "array<string>")})
     one = once(zero.withColumn("hf_forms_all", normalized(F.col("hf_strings"), ascii_only=ascii_only)), {"hf_all": F.col("hf_forms_all")})
     two = once(one, {
         "hf_safe": F.get("hf_all", F.lit(0)),
-        "hf_numbers": F.concat(digit_numbers(F.col("hf_bare")), spelled_numbers(F.get("hf_all", F.lit(1)))),
-        "hf_ranges": ranges(F.col("hf_bare")),
+        "hf_numbers": needed(planted, F.concat(digit_numbers(F.col("hf_bare")), spelled_numbers(F.get("hf_all", F.lit(1)))), "array<double>"),
+        "hf_ranges": needed(planted, ranges(F.col("hf_bare")), "array<struct<low:double,high:double>>"),
         "hf_forms": F.slice("hf_all", F.lit(3), F.size("hf_values")),
         "hf_originals": F.slice("hf_all", F.size("hf_values") + 3, F.size("hf_entries")),
     })
-    three = once(two, {"hf_compact": compact(F.col("hf_safe")), "hf_words": near_words(F.col("hf_safe"))})
+    three = once(two, {"hf_compact": F.when(planted, compact(F.col("hf_safe"))), "hf_words": needed(planted, near_words(F.col("hf_safe")), "array<string>")})
     found, shown_safe = F.col("hf_safe"), F.col("hf_entries")
 
     def canary(c: Column, i: Column) -> Column:

@@ -12,6 +12,7 @@ from hushframe.operators.resolve import above_threshold, attribution, clusters
 from hushframe.operators.rewrite import hidden_types, replacements, reveal_entries, spliced
 from hushframe.operators.verify import summary, verified
 from hushframe.functions.steps import once
+from hushframe.session import spread
 from hushframe.sources.policies import Policy
 
 #: The year that dates are compared with, unless a plan names another.
@@ -36,7 +37,7 @@ def blinded(notes: DataFrame, policy: Policy, *, text: str = "raw", key: str = "
     helped = canaries is not None and fixture_transform
     planted_by_name: tuple = ()
     none = F.array().cast("array<string>")
-    one = notes.withColumns({"hf_raw": raw, "hf_canaries": planted if planted is not None else none, "hf_kinds": typed if typed is not None else none})
+    one = spread(notes).withColumns({"hf_raw": raw, "hf_canaries": planted if planted is not None else none, "hf_kinds": typed if typed is not None else none})
     if helped:
         one = one.withColumn("hf_folded", normalized_places_all("hf_raw", "hf_canaries")).transform(once, {"hf_places": F.col("hf_folded")})
         planted_by_name = (F.col("hf_canaries"), F.col("hf_kinds"), F.col("hf_places"))

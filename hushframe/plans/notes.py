@@ -53,3 +53,44 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(*map(F.lit, [*planted.values(), "budget"])).alias("expected_field_types"),
         F.array(F.lit("client context preserved")).alias("expected_semantics"),
     )
+
+
+#: What planted texts hold, one value a detector: (text before, its own word, text after); the word ends in the row's number.
+PLANTED = (
+    ("key ", "sk-plantedvalue0000", " und ü"),
+    ("clé: ", "api_key_plant", "; é"),
+    ("“", "token_plant", "” naïf"),
+    ("see ", "REVEAL_MAP_", ", até"),
+    ("", "our quiet partner who pays ", "."),
+    ("Ask ", "the one who signed ", "; "),
+    ("and ", "whoever holds lease ", ", "),
+    ("über ", "next quarter", " "),
+    ("or ", "seventy five per day", "; "),
+    ("with ", "local routing model seat", " "),
+    ("call ", "555-1212", " or "),
+    ("", "+1 (743) 555-3824", " – "),
+    ("in ", "/srv/planted/brief", ".md "),
+    ("hired ", "Dr. Ada Brook", ", "),
+    ("met ", "J. Farrow", " and "),
+    ("then ", "Nina P.", ""),
+)
+#: Values that end in the row's number.
+NUMBERED = frozenset(range(7)) | {12}
+
+
+def planted_sql(*, duckdb: bool) -> str:
+    """SELECT of (note_id, raw) over customer: each text holds the values of three detectors, told by its number."""
+    number = "cast(c_custkey as varchar)" if duckdb else "cast(c_custkey as string)"
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    parts = [f"concat({quoted(a)}, {quoted(v)}, {number if i in NUMBERED else quoted('')}, {quoted(b)})" for i, (a, v, b) in enumerate(PLANTED)]
+    array = f"[{', '.join(parts)}]" if duckdb else f"array({', '.join(parts)})"
+    at = lambda k: f"({array})[cast((c_custkey + {k}) % {len(parts)} as int) + 1]" if duckdb else f"element_at({array}, cast((c_custkey + {k}) % {len(parts)} as int) + 1)"
+    return f"SELECT c_custkey AS note_id, concat({at(0)}, ' | ', {at(5)}, ' | ', {at(11)}) AS raw FROM customer"
+
+
+PLANTED_NOTES = f"planted AS ({planted_sql(duckdb=True)})"
+
+
+def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return spark.sql(planted_sql(duckdb=False).replace("FROM customer", "FROM {customer}"), customer=customer)

@@ -1,12 +1,14 @@
 """The named queries over the reference operators, and their SQL.
 
-Patterns in the SQL are the ASCII readings of those in functions.patterns, without
-lookarounds, which DuckDB does not have; of documents the SQL reads the ASCII rows only,
-while the queries read all of them.
+Patterns in the SQL are those in functions.patterns as DuckDB can say them: it has no
+lookarounds and its \\b is ASCII's, so where a word must begin or end, the SQL takes in
+what stands before or behind it, and gives the group between.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,23 +47,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-ASCII = "(SELECT * FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]'))"
+#: What is no letter, mark, digit or underscore of any alphabet, or an end of the text; and a white space of any kind.
+_EDGE = r"(?:^|[^\p{L}\p{M}\p{N}_])"
+_EDGE_AFTER = r"(?:$|[^\p{L}\p{M}\p{N}_])"
 
 
 def exploded(rows: DataFrame, key: str, spans: Column) -> DataFrame:
     return once(rows, {"hf_spans": spans}).select(key, F.posexplode("hf_spans").alias("n", "s")).select(key, "n", "s.text", "s.start", "s.end")
 
 
-def _spans_query(name: str, source: str, key: str, column: str, kind: str, pattern: str, reason: str, confidence: float, sql_pattern: str, options: str = "") -> None:
+def _spans_query(name: str, source: str, key: str, column: str, kind: str, pattern: str, reason: str, confidence: float, sql_pattern: str, options: str = "", group: int = 0) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = {"notes": N.notes}.get(source, lambda s, d: table(s, d, source))(spark, sf_dir)
+        rows = {"notes": N.notes, "planted": N.planted}.get(source, lambda s, d: table(s, d, source))(spark, sf_dir)
         return exploded(rows.select(key, column), key, pattern_spans(F.col(column), pattern, kind, reason, confidence)).select(key, "n", "text")
 
     run.__name__ = name
-    head = f"WITH {N.NOTES}, " if source == "notes" else "WITH "
-    where = {"documents": ASCII}.get(source, source)
-    found = f"regexp_extract_all({column}, '{sql_pattern.replace(chr(39), chr(39) * 2)}', 0{', ' + chr(39) + options + chr(39) if options else ''})"
-    query(f"{head}m AS (SELECT {key}, {found} AS hits FROM {where}) SELECT {key}, CAST(unnest(generate_series(1, len(hits))) - 1 AS INTEGER) AS n, unnest(hits) AS text FROM m")(run)
+    head = {"notes": f"WITH {N.NOTES}, ", "planted": f"WITH {N.PLANTED_NOTES}, "}.get(source, "WITH ")
+    found = f"regexp_extract_all({column}, '{sql_pattern.replace(chr(39), chr(39) * 2)}', {group}{', ' + chr(39) + options + chr(39) if options else ''})"
+    query(f"{head}m AS (SELECT {key}, {found} AS hits FROM {source}) SELECT {key}, CAST(unnest(generate_series(1, len(hits))) - 1 AS INTEGER) AS n, unnest(hits) AS text FROM m")(run)
 
 
 def plain(pattern: str) -> str:
@@ -69,41 +72,57 @@ def plain(pattern: str) -> str:
     return pattern[pattern.index(")") + 1 :]
 
 
+_B = r"\b"
+_LOOK = re.compile(r"\(\?<?!(?:\\w|\[[^\]]*\])\)")
 _DETECTOR = {(kind, reason): (pattern, confidence) for kind, pattern, reason, confidence in P.DETECTORS}
 for _name, _source, _key, _column, _kind, _reason, _options in (
     ("span_email", "documents", "doc_id", "text", "email", "email address", ""),
     ("span_secret", "documents", "doc_id", "text", "secret_token", "long token-like string", ""),
     ("span_account", "documents", "doc_id", "text", "account_id", "account id", "i"),
     ("span_url", "pages", "page_id", "url", "url", "url or domain", ""),
-    ("span_api_key", "documents", "doc_id", "text", "api_key", "api-key-like secret", "i"),
-    ("span_labeled_key", "documents", "doc_id", "text", "api_key", "labeled api-key-like secret", "i"),
-    ("span_labeled_secret", "documents", "doc_id", "text", "secret_token", "labeled secret token", "i"),
+    ("span_api_key", "planted", "note_id", "raw", "api_key", "api-key-like secret", "i"),
+    ("span_labeled_key", "planted", "note_id", "raw", "api_key", "labeled api-key-like secret", "i"),
+    ("span_labeled_secret", "planted", "note_id", "raw", "secret_token", "labeled secret token", "i"),
     ("span_date", "notes", "note_id", "raw", "date", "date", "i"),
-    ("span_relative_date", "notes", "note_id", "raw", "date", "relative date phrase", "i"),
+    ("span_relative_date", "planted", "note_id", "raw", "date", "relative date phrase", "i"),
     ("span_price", "notes", "note_id", "raw", "budget", "price or budget", "i"),
-    ("span_spelled_price", "notes", "note_id", "raw", "budget", "spelled price or budget", "i"),
+    ("span_spelled_price", "planted", "note_id", "raw", "budget", "spelled price or budget", "i"),
     ("span_business", "notes", "note_id", "raw", "business_name", "organization suffix heuristic", ""),
     ("span_model", "notes", "note_id", "raw", "model_name", "known model name", "i"),
-    ("span_model_context", "notes", "note_id", "raw", "model_name", "model or source identity phrase", "i"),
-    ("span_sentinel", "documents", "doc_id", "text", "secret_token", "debug or reveal sentinel", "i"),
+    ("span_model_context", "planted", "note_id", "raw", "model_name", "model or source identity phrase", "i"),
+    ("span_sentinel", "planted", "note_id", "raw", "secret_token", "debug or reveal sentinel", "i"),
     ("span_status", "notes", "note_id", "raw", "client_status", "private client status phrase", "i"),
     ("span_status_idiom", "notes", "note_id", "raw", "client_status", "generalizing client status idiom", "i"),
-    ("span_relation_role", "documents", "doc_id", "text", "business_relationship", "role-only relationship reference", "i"),
-    ("span_relation_one", "documents", "doc_id", "text", "business_relationship", "indirect 'the one who' relationship reference", "i"),
-    ("span_relation_whoever", "documents", "doc_id", "text", "business_relationship", "indirect 'whoever' relationship reference", "i"),
+    ("span_relation_role", "planted", "note_id", "raw", "business_relationship", "role-only relationship reference", "i"),
+    ("span_relation_one", "planted", "note_id", "raw", "business_relationship", "indirect 'the one who' relationship reference", "i"),
+    ("span_relation_whoever", "planted", "note_id", "raw", "business_relationship", "indirect 'whoever' relationship reference", "i"),
 ):
     _pattern, _confidence = _DETECTOR[_kind, _reason]
-    _spans_query(_name, _source, _key, _column, _kind, _pattern, _reason, _confidence, plain(_pattern), _options)
-
-# Lookbehinds cannot be said in SQL here; only rows are counted for these.
-for _name, _kind, _reason in (("span_phone", "phone", "phone number"), ("span_local_phone", "phone", "local phone number"), ("span_file_path", "file_path", "local file path")):
+    _sql = plain(_pattern)
+    # Documents are of any alphabet: a word's first letter must not stand behind another letter of any.
+    _wide = _source == "documents"
+    _spans_query(_name, _source, _key, _column, _kind, _pattern, _reason, _confidence, f"{_EDGE}({_sql.removeprefix(_B)})" if _wide else _sql, _options, int(_wide))
+
+for _name, _source, _key, _column, _kind, _reason, _front, _body, _back in (
+    ("span_phone", "documents", "doc_id", "text", "phone", "phone number", _EDGE, P.PHONE, _EDGE_AFTER),
+    ("span_local_phone", "documents", "doc_id", "text", "phone", "local phone number", r"(?:^|[^\p{L}\p{M}\p{N}_.-])", P.LOCAL_PHONE, r"(?:$|[^\p{L}\p{M}\p{N}_.-])"),
+    ("span_file_path", "documents", "doc_id", "text", "file_path", "local file path", _EDGE, P.FILE_PATH, ""),
+    ("span_planted_phone", "planted", "note_id", "raw", "phone", "phone number", _EDGE, P.PHONE, _EDGE_AFTER),
+    ("span_planted_local_phone", "planted", "note_id", "raw", "phone", "local phone number", r"(?:^|[^\p{L}\p{M}\p{N}_.-])", P.LOCAL_PHONE, r"(?:$|[^\p{L}\p{M}\p{N}_.-])"),
+    ("span_planted_path", "planted", "note_id", "raw", "file_path", "local file path", _EDGE, P.FILE_PATH, ""),
+):
+    _pattern, _confidence = _DETECTOR[_kind, _reason]
+    # Without the lookarounds at either end.
+    _inner = _LOOK.sub("", plain(_body))
+    _spans_query(_name, _source, _key, _column, _kind, _pattern, _reason, _confidence, f"{_front}({_inner}){_back}", "", 1)
 
-    def _run(spark: SparkSession, sf_dir: str, kind: str = _kind, reason: str = _reason) -> DataFrame:
-        pattern, confidence = _DETECTOR[kind, reason]
-        return exploded(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", pattern_spans(F.col("text"), pattern, kind, reason, confidence))
 
-    _run.__name__ = _name
-    query()(_run)
+@query(f"""WITH {N.PLANTED_NOTES}, m AS (SELECT note_id, regexp_extract_all(raw, '\\b(?:Dr|Mr|Mrs|Ms|Prof|Sir|Capt|Sgt|Rev)\\.?\\s+[A-Z][a-z]{{2,}}(?:\\s+[A-Z][a-z]{{2,}})?') || regexp_extract_all(raw, '\\b[A-Z]\\.\\s*[A-Z][a-z]{{2,}}\\b') || regexp_extract_all(raw, '(\\b[A-Z][a-z]{{2,}}\\s+[A-Z]\\.)(?:$|[^A-Za-z0-9_])', 1) AS hits FROM planted)
+SELECT note_id, text, count(*) AS n FROM (SELECT note_id, unnest(hits) AS text FROM m) GROUP BY ALL""")
+def span_titles(spark, sf_dir):
+    """Names with a title or an initial."""
+    forms = person_spans(F.col("raw"))[1:]
+    return exploded(N.planted(spark, sf_dir), "note_id", F.concat(*forms)).groupBy("note_id", "text").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {N.NOTES}, p AS (SELECT note_id, CASE WHEN position('$' IN raw) > 0 THEN position('$' IN raw) - 1 END AS s, regexp_extract(raw, '\\$[0-9]+/day') AS t FROM notes)
@@ -153,11 +172,11 @@ def _case(column: str, some: tuple[str, ...]) -> str:
     return f"CASE {column} % {len(some)} " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(some)) + " END"
 
 
-SPANS = "spans AS (" + _SPANS.format(kind=_case("l_suppkey", _KINDS), detector=_case("l_partkey", _WHO), lineitem="(SELECT * FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1)") + ")"
+SPANS = "spans AS (" + _SPANS.format(kind=_case("l_suppkey", _KINDS), detector=_case("l_partkey", _WHO), lineitem="lineitem") + ")"
 
 
 def span_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All of lineitem as spans; of an order's equal line numbers, the winners' last names decide. The SQL reads only lines whose number does not repeat."""
+    """All of lineitem as spans; of an order's equal line numbers, the winners' last names decide."""
     lines = table(spark, sf_dir, "lineitem")
     sql = _SPANS.replace('"', "`").format(kind=_case("l_suppkey", _KINDS), detector=_case("l_partkey", _WHO), lineitem="{lineitem}")
     return spark.sql(sql, lineitem=lines)
@@ -173,8 +192,8 @@ def policy_threshold(spark, sf_dir):
     return span_rows(spark, sf_dir).join(F.broadcast(fields), "field_type").where("confidence >= least").select("note_id", "start", "end", "seq", "field_type", "detector", "confidence")
 
 
-ISLANDS = f"""{SPANS}, reach AS (SELECT *, max("end") OVER (PARTITION BY note_id ORDER BY "start", "end", seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM spans WHERE "start" < "end"),
-islands AS (SELECT * EXCLUDE r, CAST(sum(CASE WHEN "start" < r THEN 0 ELSE 1 END) OVER (PARTITION BY note_id ORDER BY "start", "end", seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM reach)"""
+ISLANDS = f"""{SPANS}, reach AS (SELECT *, max("end") OVER (PARTITION BY note_id ORDER BY "start", "end", seq, field_type DESC, detector DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM spans WHERE "start" < "end"),
+islands AS (SELECT * EXCLUDE r, CAST(sum(CASE WHEN "start" < r THEN 0 ELSE 1 END) OVER (PARTITION BY note_id ORDER BY "start", "end", seq, field_type DESC, detector DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM reach)"""
 
 
 @query(f"WITH {ISLANDS} SELECT * FROM islands")
@@ -185,7 +204,7 @@ def span_islands(spark, sf_dir):
 _RANK = "CASE field_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in P.SENSITIVITY.items()) + " ELSE 0 END"
 
 
-@query(f"""WITH {ISLANDS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY note_id, island ORDER BY confidence DESC, "end" - "start" DESC, {_RANK} DESC, "start", "end", seq) AS k, min("start") OVER (PARTITION BY note_id, island) AS a, max("end") OVER (PARTITION BY note_id, island) AS b FROM islands)
+@query(f"""WITH {ISLANDS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY note_id, island ORDER BY confidence DESC, "end" - "start" DESC, {_RANK} DESC, "start", "end", seq, field_type DESC, detector DESC) AS k, min("start") OVER (PARTITION BY note_id, island) AS a, max("end") OVER (PARTITION BY note_id, island) AS b FROM islands)
 SELECT note_id, island, a AS "start", b AS "end", field_type, detector, confidence FROM ranked WHERE k = 1""")
 def island_winner(spark, sf_dir):
     return resolve.winners(resolve.islands_by_window(span_rows(spark, sf_dir), "note_id"), "note_id").drop("sources", "n_spans")
@@ -205,13 +224,13 @@ def _row_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once(spans, {"clusters": resolve.clusters(F.col("spans"), F.lit(""))})
 
 
-@query(f"""WITH {ISLANDS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY note_id, island ORDER BY confidence DESC, "end" - "start" DESC, {_RANK} DESC, "start", "end", seq) AS k, min("start") OVER (PARTITION BY note_id, island) AS a, max("end") OVER (PARTITION BY note_id, island) AS b FROM islands)
+@query(f"""WITH {ISLANDS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY note_id, island ORDER BY confidence DESC, "end" - "start" DESC, {_RANK} DESC, "start", "end", seq, field_type DESC, detector DESC) AS k, min("start") OVER (PARTITION BY note_id, island) AS a, max("end") OVER (PARTITION BY note_id, island) AS b FROM islands)
 SELECT note_id, a AS "start", b AS "end", field_type, detector FROM ranked WHERE k = 1""")
 def clusters_in_row(spark, sf_dir):
     return _row_clusters(spark, sf_dir).select("note_id", F.inline("clusters")).select("note_id", "start", "end", "field_type", "detector")
 
 
-@query(f"""WITH {ISLANDS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY note_id, island ORDER BY confidence DESC, "end" - "start" DESC, {_RANK} DESC, "start", "end", seq) AS k, CASE WHEN detector IN ('fixture', 'llm') THEN detector ELSE 'detector' END AS src FROM islands),
+@query(f"""WITH {ISLANDS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY note_id, island ORDER BY confidence DESC, "end" - "start" DESC, {_RANK} DESC, "start", "end", seq, field_type DESC, detector DESC) AS k, CASE WHEN detector IN ('fixture', 'llm') THEN detector ELSE 'detector' END AS src FROM islands),
 c AS (SELECT note_id, island, max(CASE WHEN k = 1 THEN src END) AS src, count(DISTINCT src) AS n, bool_or(src = 'llm') AS llm FROM ranked GROUP BY 1, 2)
 SELECT note_id, CAST(count(*) FILTER (src = 'fixture') AS INTEGER) AS by_fixture, CAST(count(*) FILTER (src = 'detector') AS INTEGER) AS by_detector, CAST(count(*) FILTER (src = 'llm') AS INTEGER) AS by_llm, CAST(count(*) FILTER (n > 1) AS INTEGER) AS combined, CAST(count(*) FILTER (llm) AS INTEGER) AS llm_touched FROM c GROUP BY 1""")
 def attribution_counts(spark, sf_dir):
@@ -386,7 +405,7 @@ def as_evaluated(rows: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     verdict = F.struct(F.col("passed"), F.col("hard").alias("hard_leaks"), *(F.lit(0).alias(x) for x in ("near_leaks", "numeric_leaks", "reveal_map_leaks", "coreference_errors")), none.alias("warnings"))
     counted = F.struct(*(F.lit(1).alias(x) for x in evaluate.REMOVED), none.alias("llm_unique_span_field_types"))
-    return rows.withColumns({"verification": verdict, "attribution": counted, "safe_text": F.lit("new"), "raw": F.lit("raw text"), "det_safe_text": F.when(F.col("line_no") % 2 == 0, "old").otherwise("new"), "llm_latency_ms": F.col("latency"), "fixture_passed": F.col("line_no") % 8 != 0} | {x: F.lit(0) for x in proposals.STATS})
+    return rows.withColumns({"verification": verdict, "attribution": counted, "safe_text": F.lit("new"), "raw": F.lit("raw text"), "det_safe_text": F.when(F.col("line_no") % 2 == 0, "old").otherwise("new"), "llm_latency_ms": F.col("latency"), "latency_ms": F.col("latency"), "process_failed": F.lit(False), "fixture_passed": F.col("line_no") % 8 != 0} | {x: F.lit(0) for x in proposals.STATS})
 
 
 @query(f"WITH {RESULTS} SELECT count(*) AS cases_total, count(*) FILTER (passed) AS cases_passed, CAST(sum(hard) AS BIGINT) AS hard_leaks, count(*) AS removed_by_detector, 3.0::DOUBLE AS avg_safe_chars FROM results")
@@ -409,14 +428,12 @@ def eval_percentiles(spark, sf_dir):
 @query(f"WITH {RESULTS} SELECT line_no FROM (SELECT line_no, row_number() OVER (ORDER BY line_no) AS n FROM results WHERE passed) WHERE n <= 25")
 def first_n(spark, sf_dir):
     """The first 25 cases that passed; a limit is the feature here."""
-    rows = results(spark, sf_dir).where("passed")
-    return rows.orderBy("line_no").limit(25).select("line_no")
+    return evaluate.first_cases(results(spark, sf_dir), 25, F.col("passed")).select("line_no")
 
 
 @query(f"WITH {RESULTS} SELECT line_no, coalesce(line_no > (SELECT min(line_no) FROM results WHERE failed), false) AS disabled FROM results")
 def breaker_mask(spark, sf_dir):
-    rows = results(spark, sf_dir)
-    return rows.withColumn("hf_first", rows.where("failed").agg(F.min("line_no")).scalar()).select("line_no", F.coalesce(F.col("line_no") > F.col("hf_first"), F.lit(False)).alias("disabled"))
+    return evaluate.breaker(results(spark, sf_dir), F.col("failed")).select("line_no", "disabled")
 
 
 @query("SELECT o_orderkey AS judgment_id, o_custkey AS artifact_id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0)")

@@ -9,11 +9,15 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
 
+def on_one_machine(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
     """A session on one machine, for tests and benchmarks."""
     builder = SparkSession.builder.master(f"local[{cpus}]").appName("hushframe")
@@ -45,6 +49,8 @@ def ship(spark: SparkSession) -> SparkSession:
     if context.applicationId in _shipped:
         return spark
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not on_one_machine(context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not shared:
         shared = tempfile.mkdtemp(prefix="hushframe-ship-")
         atexit.register(shutil.rmtree, shared, ignore_errors=True)
@@ -55,3 +61,32 @@ def ship(spark: SparkSession) -> SparkSession:
     context.addPyFile(path.toString())
     _shipped.add(context.applicationId)
     return spark
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows, written now to the checkpoint folder (shared by all executors): what made them is not run again.
+
+    Where no folder is set, one of our own serves on one machine; on a cluster that is an error.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not on_one_machine(context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if not named:
+            named = tempfile.mkdtemp(prefix="hushframe-kept-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
+    return df.checkpoint(eager=True)
+
+
+#: Input below this many bytes a core may be one row group of one file, which one task would read alone.
+SMALL = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows, dealt out to all cores where there are few bytes of them (by the plan's own estimate): the work on a row may be heavy all the same."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= cores * SMALL:
+        return df
+    return df.repartition(cores)

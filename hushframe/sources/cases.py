@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CASE_TYPE = "case_id string, raw string, canaries array<string>, expected_field_types array<string>, expected_semantics array<string>, notes string"
@@ -16,11 +17,19 @@ def read_note(spark: SparkSession, path: str) -> DataFrame:
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
     """(line_no long, the case's columns, broken boolean): blank lines are left out but counted, broken ones kept and marked.
 
-    A case is broken if it is no JSON object or has no raw text.  Line numbers need
-    the file's order, which only the row index of its partitions gives.
+    A case is broken if it is no JSON object or has no raw text.  Lines are numbered in the
+    order of the files' names and blocks: every block's lines are counted, and a line's
+    number is its place in its block after the lines of the blocks before it.
     """
-    numbered = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1] + 1, x[0][0]))
-    return parse_cases(spark.createDataFrame(numbered, "line_no long, line string"))
+    place = F.monotonically_increasing_id()
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), place.alias("id"))
+    # Within a block, ids rise by one a line: a block is read by one task, in order.
+    blocks = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    # One row for each block of the files, so their order is a small table's.
+    before = F.coalesce(F.sum("n").over(W.orderBy("file", "block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = blocks.select("file", "block", "first", before.alias("before"))
+    numbered = lines.join(placed, ["file", "block"]).select((F.col("before") + F.col("id") - F.col("first") + 1).alias("line_no"), F.col("value").alias("line"))
+    return parse_cases(numbered)
 
 
 def parse_cases(lines: DataFrame) -> DataFrame:
@@ -102,6 +111,44 @@ def generated_cases(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
     )
 
 
+#: Phrases of held-out cases, by kind: none of them is a fixed phrase, a listed place or a name of generated_cases().
+HELDOUT = {
+    "business_relationship": ("the bookkeeper who vouched for them", "their go-between in the paving trade", "whoever countersigned the lease", "the cousin that keeps their ledgers", "our old liaison at the orchard"),
+    "client_status": ("keeps postponing the kickoff", "has second thoughts since the estimate", "asked for a quiet month before paying", "hinted at another bidder", "wants the handover hushed up"),
+    "business_name": ("Copperfield Dental", "Juniper Hill Media", "Saltmarsh Plumbing", "Winterbourne Clinic", "Fernleigh Solutions"),
+    "person_name": ("Imogen Farley", "Oskar Lindqvist", "Teodora Banu", "Hakim Sowell", "Brigid Malone"),
+    "model_name": ("the tiny model in the basement rack", "a rented judge model", "that cloud routing model"),
+    "file_path": ("/srv/drop/ledger.csv", "~/var/quotes/final.txt", "/opt/intake/notes.md"),
+    "location": ("Port Huron", "Traverse Bay", "Owosso", "Marquette"),
+    "budget": ("$95 per day", "$640/month", "a 14% cut", "$2,300/month"),
+    "private_note": ("nobody but the owner may hear of it", "leave the brother out of this", "not a word to the landlord"),
+}
+#: How often each kind is in a case, in percent, and what stands before its phrase.
+HELDOUT_SHARE = {"business_relationship": (50, "Met "), "client_status": (100, "; the account "), "business_name": (65, "; it is about "), "person_name": (45, ". Copy in "), "model_name": (30, "; graded by "), "file_path": (28, "; filed under "), "location": (30, "; near "), "budget": (35, "; offered "), "private_note": (18, "; ")}
+
+
+def heldout_cases(spark: SparkSession, n: int, seed: int = 42, phrases: dict[str, tuple[str, ...]] = HELDOUT) -> DataFrame:
+    """n cases of generated_cases()'s kinds in other words, to measure what detectors know by heart.
+
+    Every planted value is in its text as it is; a case where one is not stops the job.
+    """
+    draw = lambda name, k: F.pmod(F.xxhash64(F.lit(seed), F.lit("heldout"), F.lit(name), F.col("line_no")), F.lit(k)).cast("int")
+    parts = [F.struct(F.get(F.array(*map(F.lit, phrases[kind])), draw(kind, len(phrases[kind]))).alias("value"), F.lit(kind).alias("kind"), F.lit(lead).alias("lead"), (draw(f"{kind}?", 100) < share).alias("there")) for kind, (share, lead) in HELDOUT_SHARE.items() if phrases.get(kind)]
+    rows = spark.range(1, n + 1).withColumnRenamed("id", "line_no").withColumn("parts", F.filter(F.array(*parts), lambda x: x["there"]))
+    raw = F.concat(F.regexp_replace(F.array_join(F.transform("parts", lambda x: F.concat(x["lead"], x["value"])), ""), r"^[;. ]+", ""), F.lit("."))
+    rows = rows.withColumn("raw", raw).withColumn("canaries", F.transform("parts", lambda x: x["value"]))
+    checked = F.when(F.forall("canaries", lambda c: F.contains("raw", c)), F.col("raw")).otherwise(F.raise_error(F.concat(F.lit("a planted value is not in its text: "), F.col("raw"))))
+    return rows.select(
+        "line_no",
+        F.format_string("heldout_%03d", "line_no").alias("case_id"),
+        checked.alias("raw"),
+        "canaries",
+        F.transform("parts", lambda x: x["kind"]).alias("expected_field_types"),
+        F.array(F.lit("who and what is meant stays private")).alias("expected_semantics"),
+        F.lit("held out").alias("notes"),
+    )
+
+
 def write_cases(cases: DataFrame, path: str) -> None:
     """JSON lines, in line order, fields by name."""
     names = sorted(c for c in cases.columns if c != "line_no")

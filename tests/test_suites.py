@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hushframe.operators import evaluate, training
 from hushframe.operators.proposals import Reply, graded, judged, parsed_spans, parsed_verdicts, profile, proposed
 from hushframe.plans.blind import blinded
-from hushframe.sources.cases import generated_cases, parse_cases, read_cases, read_note, write_cases
+from hushframe.sources.cases import HELDOUT, generated_cases, heldout_cases, parse_cases, read_cases, read_note, write_cases
 from hushframe.sources.policies import POLICIES
 from hushframe.sources.stores import audit_events, local_store, tail
 
@@ -107,6 +107,65 @@ def test_model_lane_and_breaker(spark):
     assert (out.cases_passed, out.llm_timeouts) == (0, 1)
 
 
+def test_calls_are_bounded_and_stop(spark, tmp_path):
+    """A client that counts its calls: never more than max_cases, no wave after a failed call, none a second time."""
+    rows = cases(spark, *[("We spoke.", [], [])] * 40)
+    log = tmp_path / "calls"
+    log.mkdir()
+
+    def counting(ok):
+        def client(prompt):
+            import uuid
+
+            (log / uuid.uuid4().hex).touch()
+            return Reply('{"spans":[]}', ok=ok)
+
+        return client
+
+    def calls():
+        n = len(list(log.iterdir()))
+        for f in log.iterdir():
+            f.unlink()
+        return n
+
+    out = evaluate.evaluated(rows, CLIENT, client=counting(True), max_cases=3)
+    assert evaluate.totals(out).first().cases_total == 40 and out.where("llm_used").count() == 3 and calls() == 3
+    assert evaluate.evaluated(rows, CLIENT, client=counting(True), max_cases=0).count() == 40 and calls() == 0
+    out = evaluate.evaluated(rows, CLIENT, client=counting(False))
+    assert evaluate.totals(out).first().llm_transport_failures == 1 and calls() <= evaluate.WAVE
+    out = evaluate.evaluated(rows, CLIENT, client=counting(True))
+    assert out.where("llm_used").count() == 40 and calls() == 40
+    out = evaluate.totals(evaluate.evaluated(rows, CLIENT, client=counting(False), required=True)).first()
+    assert (out.cases_total, out.cases_passed, out.json_or_process_failures) == (40, 0, 40) and calls() == 40
+    judge = evaluate.usefulness(evaluate.evaluated(rows, CLIENT), counting(False), max_cases=30).first()
+    assert judge.usefulness_failures == 1 and calls() <= evaluate.WAVE
+
+
+def test_waves(spark):
+    rows = spark.range(10, 60).withColumnRenamed("id", "line_no")
+    assert list(evaluate.waves(rows)) == [17, 33, 59]
+    assert list(evaluate.waves(rows.limit(0))) == [] and list(evaluate.waves(spark.range(3).withColumnRenamed("id", "line_no"))) == [2]
+    many = list(evaluate.waves(spark.range(20_000).withColumnRenamed("id", "line_no")))
+    assert many[0] == 7 and many[-1] == 19_999 and many == sorted(set(many)) and len(many) < 15
+
+
+def test_ranks_of_counted_values(spark):
+    values = [1.0, 1.0, 2.0, 5.0, 5.0, 5.0, 9.0]
+    counted = F.array(*(F.struct(F.lit(v).alias("v"), F.lit(values.count(v)).cast("long").alias("n")) for v in (1.0, 2.0, 5.0, 9.0)))
+    plain = F.array(*map(F.lit, values))
+    for p in (0, 10, 25, 50, 75, 95, 100):
+        a, b = spark.range(1).select(evaluate.nearest_rank_counted(counted, p), evaluate.nearest_rank(plain, p)).first()
+        assert a == b
+    none = F.array().cast("array<struct<v:double,n:long>>")
+    assert spark.range(1).select(evaluate.nearest_rank_counted(none, 50)).first()[0] == 0.0
+
+
+def test_latencies_of_cases(spark):
+    out = evaluate.totals(evaluate.evaluated(cases(spark, *[("Bob Calder called.", [], [])] * 5), CLIENT)).first()
+    assert 0 < out.p50_latency_ms <= out.p95_latency_ms <= out.max_latency_ms
+    assert evaluate.public(evaluate.totals(evaluate.evaluated(cases(spark), CLIENT))).first().max_latency_ms == 0
+
+
 def test_usefulness(spark):
     rows = evaluate.evaluated(cases(spark, ("hello", [], []), ("there", [], []), ("again", [], [])), CLIENT)
     out = evaluate.usefulness(rows, lambda p: Reply('{"semantic_preservation_score":0.5,"missing_semantics":[],"overredaction":false}'), max_cases=2).first()
@@ -142,6 +201,29 @@ def test_case_lines(spark, tmp_path):
     assert read_note(spark, f"file://{note}").first().raw == "one\ntwo\n"
 
 
+def test_lines_of_several_files(spark, tmp_path):
+    for name, n in (("a.jsonl", 3), ("b.jsonl", 40), ("c.jsonl", 2)):
+        (tmp_path / name).write_text("".join(json.dumps({"raw": f"{name} {i}"}) + "\n" for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        rows = read_cases(spark, f"file://{tmp_path}").orderBy("line_no").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r.line_no for r in rows] == list(range(1, 46))
+    assert [r.raw for r in rows] == [f"{x} {i}" for x, n in (("a.jsonl", 3), ("b.jsonl", 40), ("c.jsonl", 2)) for i in range(n)]
+
+
+def test_heldout_cases(spark):
+    from hushframe.functions import patterns as P
+
+    rows = heldout_cases(spark, 200).collect()
+    assert rows == heldout_cases(spark, 200).collect() and len(rows) == 200
+    assert all(c in r.raw for r in rows for c in r.canaries) and {k for r in rows for k in r.expected_field_types} == set(HELDOUT)
+    assert not {x for some in HELDOUT.values() for x in some} & {*P.STATUS_PHRASES, *P.LOCATIONS}
+    out = evaluate.totals(evaluate.evaluated(heldout_cases(spark, 200), CLIENT, fixture_transform=False)).first()
+    assert out.cases_passed < 200 and evaluate.totals(evaluate.evaluated(heldout_cases(spark, 200), CLIENT)).first().cases_passed > out.cases_passed
+
+
 def test_generated_cases(spark, tmp_path):
     rows = generated_cases(spark, 40)
     got = rows.collect()
