@@ -114,7 +114,8 @@ def run_suite(args: argparse.Namespace, spark, stores: Stores) -> dict:
     totals = evaluate.totals(results, suite)
     judge = chat(args.judge_usefulness, args)
     if judge is not None:
-        totals = totals.crossJoin(F.broadcast(evaluate.usefulness(results, judge, max_cases=args.judge_max_cases)))
+        said = kept(evaluate.usefulness(results, judge, max_cases=args.judge_max_cases))
+        totals = totals.withColumn("said", said.select(F.struct("*")).scalar()).select("*", "said.*").drop("said")
     settings = {"llm_mode": args.llm, "llm_model": args.llm_model, "llm_prompt_profile": long_name, "judge_usefulness": args.judge_usefulness, "fixture_transform_enabled": helped}
     totals = kept(totals.withColumns({k: F.lit(v) if v is not None else F.lit(None).cast("string") for k, v in settings.items()}))
     totals.write.mode("overwrite").json(paths["aggregate_path"])

@@ -16,12 +16,13 @@ def registry_spans(text: Column, policy: Policy, lower: Column) -> list[Column]:
 
 
 def gazetteer_spans(text: Column, policy: Policy, lower: Column) -> list[Column]:
-    out = []
-    if "location" in policy:
-        out += [gated(literal_spans(text, x, "location", "known synthetic location", 0.82, "heuristic"), F.contains(lower, F.lit(x.lower()))) for x in P.LOCATIONS]
-    if "client_status" in policy:
-        out += [gated(literal_spans(text, x, "client_status", "synthetic status phrase", 0.9, "heuristic"), F.contains(lower, F.lit(x.lower()))) for x in P.STATUS_PHRASES]
-    return out
+    """One array for each gazetteer: its phrases are data of one expression, and only those that the text holds are looked for."""
+    def listed(kind: str, phrases: tuple[str, ...], reason: str, confidence: float) -> Column:
+        there = F.filter(F.array(*map(F.lit, phrases)), lambda x: F.contains(lower, F.lower(x)))
+        return F.flatten(F.transform(there, lambda x: literal_spans(text, x, kind, reason, confidence, "heuristic")))
+
+    known = (("location", P.LOCATIONS, "known synthetic location", 0.82), ("client_status", P.STATUS_PHRASES, "synthetic status phrase", 0.9))
+    return [listed(*row) for row in known if row[0] in policy]
 
 
 def looks_like_business(value: Column) -> Column:
@@ -92,18 +93,22 @@ def variants(canary: Column, kind: Column) -> Column:
     return F.filter(F.array_distinct(F.coalesce(some, F.array().cast("array<string>"))), lambda x: (x != "") & (x != canary))
 
 
-def planted_spans(text: Column, canaries: Column, kinds: Column, found: Column) -> list[Column]:
+def planted_spans(text: Column, canaries: Column, kinds: Column, found: Column, lower: Column) -> list[Column]:
     """Spans of a case's own planted values: as they are, in a common form, and in other forms.
 
-    ``found``: a column of normalized_places_all(text, canaries); not the call, as lambdas refer to it.
+    ``found``: a column of normalized_places_all(text, canaries), ``lower``: one of folded(text); not the calls, as lambdas refer to them.
     """
     typed = F.transform(canaries, lambda c, i: F.struct(c.alias("value"), F.coalesce(F.get(kinds, i), infer_field_type(c)).alias("kind")))
     with_places = F.zip_with(typed, found, lambda t, p: F.struct(t["value"].alias("value"), t["kind"].alias("kind"), p.alias("places")))
 
+    none = F.array().cast(NO_SPANS)
+    # What is all ASCII is in the text in any case only if it is in the folded text.
+    may_hold = lambda x: (F.octet_length(x) != F.char_length(x)) | F.contains(lower, F.lower(x))
+
     def of(t: Column) -> Column:
-        as_is = literal_spans(text, t["value"], t["kind"], "eval fixture canary", 1.0, "fixture")
+        as_is = F.when(may_hold(t["value"]), literal_spans(text, t["value"], t["kind"], "eval fixture canary", 1.0, "fixture")).otherwise(none)
         folded = F.transform(t["places"], lambda p: span(p["start"], F.substring(text, p["start"] + 1, p["end"] - p["start"]), t["kind"], "fixture", 0.99, "eval fixture normalized canary"))
-        other = F.flatten(F.transform(variants(t["value"], t["kind"]), lambda v: literal_spans(text, v, t["kind"], "eval fixture canary variant", 0.97, "fixture")))
+        other = F.flatten(F.transform(F.filter(variants(t["value"], t["kind"]), may_hold), lambda v: literal_spans(text, v, t["kind"], "eval fixture canary variant", 0.97, "fixture")))
         return F.concat(as_is, folded, other)
 
     usable = F.filter(with_places, lambda t: F.coalesce(t["value"], F.lit("")) != "")
@@ -120,7 +125,7 @@ def detect(text: Column, policy: Policy, canaries: Column | None = None, kinds:
     if "person_name" in policy:
         arrays += person_spans(text)
     if canaries is not None:
-        arrays += planted_spans(text, canaries, kinds, found)
+        arrays += planted_spans(text, canaries, kinds, found, lower)
     return F.concat(F.array().cast(NO_SPANS), *arrays)
 
 

@@ -209,7 +209,7 @@ def totals(results: DataFrame, cases: DataFrame | None = None) -> DataFrame:
         length("hf_raw").alias("avg_raw_chars"),
         rank("hf_cases", 50).alias("p50_latency_ms"),
         rank("hf_cases", 95).alias("p95_latency_ms"),
-        F.coalesce(F.element_at("hf_cases", F.when(F.size("hf_cases") > 0, -1))["v"], F.lit(0.0)).alias("max_latency_ms"),
+        F.coalesce(F.try_element_at("hf_cases", F.lit(-1))["v"], F.lit(0.0)).alias("max_latency_ms"),
         rank("hf_calls", 50).alias("p50_llm_latency_ms"),
         rank("hf_calls", 95).alias("p95_llm_latency_ms"),
         "llm_unique_span_field_types",

@@ -8,6 +8,8 @@ only that form may need Python (see functions.normalize), once a row.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,14 +87,26 @@ def verified(rows: DataFrame, *, safe: str = "safe_text", canaries: str | None =
     originals = F.transform("hf_entries", lambda e: e["original_value"])
     zero = once(zero, {"hf_strings": needed(planted | (F.size("hf_entries") > 0), F.concat(F.array("hf_text", F.coalesce("hf_bare", F.lit(""))), "hf_values", originals), "array<string>")})
     one = once(zero.withColumn("hf_forms_all", normalized(F.col("hf_strings"), ascii_only=ascii_only)), {"hf_all": F.col("hf_forms_all")})
-    two = once(one, {
+    steps = _checks()
+    out = one
+    for names_of in (("hf_safe", "hf_numbers", "hf_ranges", "hf_forms", "hf_originals"), ("hf_compact", "hf_words"), ("hf_failed", "hf_warnings")):
+        out = once(out, {name: steps[name] for name in names_of})
+    return out.withColumn(into, steps["verdict"]).select(*(n for n in names if n != into), into)
+
+
+@lru_cache(maxsize=1)
+def _checks() -> dict[str, Column]:
+    """The expressions of verified() over its own columns, made once."""
+    planted = F.size("hf_values") > 0
+    needed = lambda some, value, kind: F.when(some, value).otherwise(F.array().cast(kind))
+    two = {
         "hf_safe": F.get("hf_all", F.lit(0)),
         "hf_numbers": needed(planted, F.concat(digit_numbers(F.col("hf_bare")), spelled_numbers(F.get("hf_all", F.lit(1)))), "array<double>"),
         "hf_ranges": needed(planted, ranges(F.col("hf_bare")), "array<struct<low:double,high:double>>"),
         "hf_forms": F.slice("hf_all", F.lit(3), F.size("hf_values")),
         "hf_originals": F.slice("hf_all", F.size("hf_values") + 3, F.size("hf_entries")),
-    })
-    three = once(two, {"hf_compact": F.when(planted, compact(F.col("hf_safe"))), "hf_words": needed(planted, near_words(F.col("hf_safe")), "array<string>")})
+    }
+    three = {"hf_compact": F.when(planted, compact(F.col("hf_safe"))), "hf_words": needed(planted, near_words(F.col("hf_safe")), "array<string>")}
     found, shown_safe = F.col("hf_safe"), F.col("hf_entries")
 
     def canary(c: Column, i: Column) -> Column:
@@ -117,7 +131,7 @@ def verified(rows: DataFrame, *, safe: str = "safe_text", canaries: str | None =
     mapping = F.array(F.struct(F.when(conflicts(shown_safe), "coreference:mapping_conflict").alias("id"), F.lit("coreference").alias("group")))
     checks = F.concat(marker, F.flatten(F.transform("hf_values", canary)), F.flatten(F.transform("hf_entries", entry)), mapping)
     warnings = F.filter(F.transform("hf_entries", lambda e, i: F.when(~e["placeholder"].rlike(P.APPROVED_PLACEHOLDER), F.format_string("placeholder_pattern_%d", i + 1))), lambda w: w.isNotNull())
-    four = once(three, {"hf_failed": F.filter(checks, lambda x: x["id"].isNotNull()), "hf_warnings": warnings})
+    four = {"hf_failed": F.filter(checks, lambda x: x["id"].isNotNull()), "hf_warnings": warnings}
     count = lambda group: F.size(F.filter("hf_failed", lambda x: x["group"] == group))
     verdict = F.struct(
         (F.size("hf_failed") == 0).alias("passed"),
@@ -129,7 +143,7 @@ def verified(rows: DataFrame, *, safe: str = "safe_text", canaries: str | None =
         F.transform("hf_failed", lambda x: x["id"]).alias("failure_ids"),
         F.col("hf_warnings").alias("warnings"),
     )
-    return four.withColumn(into, verdict).select(*(n for n in names if n != into), into)
+    return two | three | four | {"verdict": verdict}
 
 
 def summary(verdict: Column) -> Column:

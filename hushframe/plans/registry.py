@@ -21,6 +21,7 @@ from hushframe.operators import evaluate, proposals, resolve, rewrite, training,
 from hushframe.operators.detect import candidates, infer_field_type, person_spans
 from hushframe.plans import notes as N
 from hushframe.plans.blind import blinded
+from hushframe.session import spread
 from hushframe.sources.cases import generated_cases
 from hushframe.sources.policies import POLICIES, policy_fields
 from hushframe.sources.stores import audit_events
@@ -159,7 +160,7 @@ def canary_hits(spark, sf_dir):
 
 @query()
 def candidate_top14(spark, sf_dir):
-    return exploded(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", candidates(F.col("text"), POLICY))
+    return exploded(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", candidates(F.col("text"), POLICY))
 
 
 # A table of spans with ties, touches and overlaps, from lineitem, for the relational forms.
