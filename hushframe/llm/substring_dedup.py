@@ -7,16 +7,17 @@ moves the cuts beside it and no others, and chunks have at least ``REACH`` + 1 w
 (but for a text's last) and at most ``MOST``.
 
 A chunk counts as repeated where its digest, taken together with its neighbours'
-(three adjacent chunks, hashed as one byte range), is also in a document of a smaller
-doc_id or further ahead in the same one.  Three chunks are some 15 words, so common
+(three adjacent chunks, hashed as one byte range to 128 bits), is also in a document of
+a smaller key or further ahead in the same one.  Three chunks are some 15 words, so common
 phrases do not match by chance however large the corpus.  Stretches of repeated
-chunks of at least ``min_words`` words are removed; the copy in the smallest doc_id
+chunks of at least ``min_words`` words are removed; the copy in the smallest key
 stays.
 
 Defined results: null and empty texts have no chunks and stay as they are; rows
-with equal doc_id are one document and lose nothing to each other; a null doc_id
-counts as the largest; texts of under three chunks lose nothing; an empty table
-gives an empty table.  What is removed is replaced by nothing, so the text keeps
+with equal keys are one document and lose nothing to each other; keys may be of any
+type that has an order, and a null key counts as the largest; texts of under three
+chunks lose nothing; an empty table gives an empty table; a column named like the one
+that is added is replaced.  What is removed is replaced by nothing, so the text keeps
 the white space before the stretch.
 """
 
@@ -28,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from hushframe.llm.shared import cut
+from hushframe.llm.shared import cut, spread_join
 from hushframe.llm.textbytes import SPACED, RangeHash, Words, as_bytes, chunks, mix, releasing, words
 
 REACH = 2
@@ -88,6 +90,8 @@ class Chunks:
         self.head = np.flatnonzero(self.doc[:n] == self.doc[ADJACENT - 1 :]) if n else np.empty(0, dtype=np.int64)
         begin, end = w.start[self.first[self.head]], w.end[self.last[self.head + ADJACENT - 1]]
         self.digest = mix(made[0].of(begin, end) ^ (end - begin).astype(np.uint64)).view(np.int64)
+        #: The digest's other half.
+        self.more = RangeHash(w.buf, salt=1).of(begin, end).view(np.int64)
         self.head_doc = self.doc[self.head]
 
     def repeated(self, ahead: np.ndarray) -> list[list[tuple[int, int]]]:
@@ -110,8 +114,8 @@ class Chunks:
     min_words = MIN_WORDS
 
 
-def digests(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """Rows (digest, key) for each distinct digest of a document."""
+def digests(docs: DataFrame) -> DataFrame:
+    """From (k, text): rows (digest, more, k) for each distinct digest of a document, in two halves."""
 
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,47 +124,52 @@ def digests(docs: DataFrame, text: str, key: str) -> DataFrame:
             for part in chunks(texts):
                 c = Chunks(texts[part])
                 _, some = np.unique(mix(c.digest.view(np.uint64) ^ mix(c.head_doc.astype(np.uint64))), return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c.digest[some]), keys.take(pa.array(c.head_doc[some] + part.start))], names=["digest", "k"])
+                yield pa.RecordBatch.from_arrays([pa.array(c.digest[some]), pa.array(c.more[some]), keys.take(pa.array(c.head_doc[some] + part.start))], names=["digest", "more", "k"])
 
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("text")).mapInArrow(run, f"digest long, k {docs.schema[key].dataType.simpleString()}")
+    return docs.select("k", "text").mapInArrow(run, T.StructType([*T.StructType.fromDDL("digest long, more long").fields, docs.schema["k"]]))
 
 
 def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The documents' columns with the text deduplicated, and hushframe_spans array<struct<start, end>> (UTF-8 byte ranges removed).
 
     Only digests that two documents have go beyond the first aggregation, which
-    combines them before the shuffle; so a passage in a third of all documents is
-    one row for each task.  The list of a document's repeated digests is bounded by
+    combines them before the shuffle.  Then the documents' digests meet those; a passage
+    in a third of all documents is one of few such, which go to every task, so its rows
+    stay where they are.  The list of a document's repeated digests is bounded by
     its own text.
     """
-    names = docs.columns
-    order = F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(2**63 - 1))
-    keyed = docs.withColumns({"hushframe_order": order, "hushframe_row": F.xxhash64(order, F.col(f"`{text}`"))})
-    first = digests(keyed, text, "hushframe_order").groupBy("digest").agg(F.min("k").alias("first"), F.max("k").alias("last"))
-    repeated = cut(first.where("first < last").select("digest", "first"), "repeated")
-    both = keyed.select(F.struct("hushframe_order", "hushframe_row").alias("k"), F.col(f"`{text}`").alias("text"))
-    own = digests(both, "text", "k").select("digest", "k.*").join(repeated, "digest").where("hushframe_order > first")
-    lists = own.groupBy("hushframe_row").agg(F.collect_set("digest").alias("hushframe_digests"))
-    joined = keyed.drop("hushframe_order").join(lists, "hushframe_row", "left").drop("hushframe_row")
-    spans = "array<struct<start:bigint,end:bigint>>"
+    names = [x for x in docs.columns if x != "hushframe_spans"]
+    inner = {x: f"hf_c{i}" for i, x in enumerate(names)}
+    base = docs.select(*(F.col(f"`{x}`").alias(inner[x]) for x in names))
+    id_, body = F.col(inner[key]), inner[text]
+    whole = isinstance(docs.schema[key].dataType, T.IntegralType)
+    order = F.coalesce(id_.cast("long"), F.lit(2**63 - 1)) if whole else F.struct(id_.isNull().alias("none"), id_.alias("key"))
+    keyed = base.withColumn("hf_order", order).withColumn("hf_row", F.xxhash64("hf_order", body))
+    first = digests(keyed.select(F.col("hf_order").alias("k"), F.col(body).alias("text"))).groupBy("digest", "more").agg(F.min("k").alias("first"), F.max("k").alias("last"), F.count("*").alias("n"))
+    repeated = cut(first.where("first < last").select("digest", F.col("more").alias("other"), "first", "n"), "repeated")
+    both = keyed.select(F.struct("hf_order", "hf_row").alias("k"), F.col(body).alias("text"))
+    own = spread_join(digests(both).select("digest", "more", "k.*"), repeated, "digest", "n").where("more = other and hf_order > first")
+    lists = own.groupBy("hf_row").agg(F.collect_set("digest").alias("hf_digests"))
+    joined = keyed.drop("hf_order").join(lists, "hf_row", "left").drop("hf_row")
+    spans = T.ArrayType(T.StructType.fromDDL("start long, end long"))
     out_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, found = as_bytes(batch.column(text)), batch.column("hushframe_digests")
+            texts, found = as_bytes(batch.column(body)), batch.column("hf_digests")
             for part in chunks(texts):
                 c, rows = Chunks(texts[part]), batch.slice(part.start, part.stop - part.start)
                 c.min_words = min_words
                 removed = c.repeated(ahead_of(c, found.slice(part.start, part.stop - part.start)))
-                kept = rows.column(text)
+                kept = rows.column(body)
                 if any(removed):
                     kept = pa.array([without(b, r).decode("utf-8", "replace") if there else None for there, b, r in zip(kept.is_valid().to_pylist(), texts[part], removed, strict=True)], type=kept.type)
                 column = pa.array([[{"start": a, "end": b} for a, b in x] for x in removed], type=out_type)
-                yield pa.RecordBatch.from_arrays([kept if x == text else rows.column(x) for x in names] + [column], names=[*names, "hushframe_spans"])
+                yield pa.RecordBatch.from_arrays([kept if x == body else rows.column(x) for x in inner.values()] + [column], names=[*inner.values(), "hushframe_spans"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", hushframe_spans {spans}"
-    return joined.select(*[F.col(f"`{x}`") for x in names], "hushframe_digests").mapInArrow(run, schema)
+    schema = T.StructType([*base.schema.fields, T.StructField("hushframe_spans", spans)])
+    return joined.select(*inner.values(), "hf_digests").mapInArrow(run, schema).toDF(*names, "hushframe_spans")
 
 
 def ahead_of(c: Chunks, found: pa.Array) -> np.ndarray:
@@ -187,6 +196,7 @@ def without(text: bytes, ranges: list[tuple[int, int]]) -> bytes:
 
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """Every document's text without the passages that a document of a smaller doc_id has too, and what was removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = dedup(docs)
     removed = F.aggregate("hushframe_spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])

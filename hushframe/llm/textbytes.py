@@ -93,10 +93,10 @@ class Words:
 
 
 class RangeHash:
-    """Hashes of any byte ranges of a buffer, from one pass over it."""
+    """Hashes of any byte ranges of a buffer, from one pass over it; another ``salt`` gives independent ones."""
 
-    def __init__(self, buf: np.ndarray, fold: np.ndarray = SAME_CASE):
-        values = _BYTE_VALUES[fold][buf]
+    def __init__(self, buf: np.ndarray, fold: np.ndarray = SAME_CASE, salt: int = 0):
+        values = (mix(_BYTE_VALUES + np.uint64(salt)) if salt else _BYTE_VALUES)[fold][buf]
         values *= powers(_BASE, len(buf))
         self.sums = np.empty(len(buf) + 1, dtype=np.uint64)
         self.sums[0] = 0
