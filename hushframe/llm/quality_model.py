@@ -7,9 +7,10 @@ either side, over all texts.  Context vectors are kept for ``BUCKETS`` hash buck
 the table has a fixed size whatever the vocabulary; counts are integers, summed per
 task and then by Spark, and exact.
 
-A document is the mean of its tokens' normalised context vectors, with the mean's
-length, the log of the number of tokens, the share of distinct ones and the share of
-repeated three-token windows.  A network of one hidden layer scores it.  It is fitted
+A document is pooled from its tokens' normalised context vectors, component by component:
+their mean, their standard deviation, and the mean of the products of adjacent tokens
+(which is high where words repeat or keep to one context).  Nothing else enters: no
+lengths, no counts.  A network of one hidden layer scores it.  It is fitted
 on at most ``SAMPLE`` labelled rows (those of the smallest hashes of their ids) with
 a part of these set aside for the temperature, which makes scores probabilities.
 
@@ -17,7 +18,8 @@ Labels, languages, sources and ids are never inputs of a score.
 
 Defined results: null and empty texts have all-zero vectors and are scored like any
 other; labels that are null, or without a document, are not used; a document with
-several labels counts once for each; with no labels, or one class only, all scores are
+several labels counts once for each; a column named like the one that is added is
+replaced by scored() and kept by good_documents(); with no labels, or one class only, all scores are
 the share of label 1 (0.5 without labels).
 """
 
@@ -30,8 +32,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from hushframe.llm.textbytes import as_bytes, byte_class, chunks, mix, releasing, windows, words
+from hushframe.llm.textbytes import as_bytes, byte_class, chunks, mix, releasing, words
 
 DIM = 32
 BUCKETS = 1 << 14
@@ -40,6 +43,8 @@ REACH = 2
 SAMPLE = 20_000
 HIDDEN = 32
 KEPT_AT = 0.3
+#: Pools of a document: mean, standard deviation, products of neighbours.
+POOLS = 3
 
 _LETTER = byte_class(bytes(range(0x30, 0x3A)) + bytes(range(0x41, 0x5B)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100)))
 _SPACE = byte_class(bytes(range(0x00, 0x21)))
@@ -98,25 +103,23 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def features(texts: list[bytes], vectors: np.ndarray) -> np.ndarray:
-    """float64[texts, DIM + 4]"""
+    """float64[texts, POOLS * DIM]; zeros for a text without tokens."""
     w = words(texts, KINDS)
-    n = np.maximum(w.counts, 1)
-    out = np.zeros((len(texts), vectors.shape[1] + 4))
+    dim = vectors.shape[1]
+    out = np.zeros((len(texts), POOLS * dim))
     full = np.flatnonzero(w.counts)
     if len(full):
-        bucket = buckets_of(w.hash)
-        for i in range(vectors.shape[1]):
-            out[full, i] = np.add.reduceat(vectors[bucket, i].astype(np.float64), w.first[full]) / n[full]
-        doc = w.doc_of_word()
-        out[:, -3] = np.log1p(w.counts)
-        distinct = np.unique(mix(w.hash ^ mix(doc.astype(np.uint64) + np.uint64(1))), return_index=True)[1]
-        out[:, -2] = np.bincount(doc[distinct], minlength=len(texts)) / n
-        rolled, at = windows(w, 3)
-        seen = np.unique(mix(rolled ^ mix(doc[at].astype(np.uint64) + np.uint64(1))), return_index=True)[1]
-        many = np.bincount(doc[at], minlength=len(texts))
-        out[:, -1] = 1 - np.bincount(doc[at][seen], minlength=len(texts)) / np.maximum(many, 1)
-        out[many == 0, -1] = 0
-        out[:, -4] = np.linalg.norm(out[:, : vectors.shape[1]], axis=1)
+        bucket, first, n = buckets_of(w.hash), w.first[full], w.counts[full]
+        last = np.zeros(len(bucket), dtype=bool)
+        last[w.first[full + 1] - 1] = True
+        for i in range(dim):
+            value = vectors[bucket, i].astype(np.float64)
+            mean = np.add.reduceat(value, first) / n
+            beside = np.append(value[:-1] * value[1:], 0.0)
+            beside[last] = 0
+            out[full, i] = mean
+            out[full, dim + i] = np.sqrt(np.maximum(np.add.reduceat(value * value, first) / n - mean * mean, 0.0))
+            out[full, 2 * dim + i] = np.add.reduceat(beside, first) / n
     return out
 
 
@@ -198,33 +201,37 @@ def learn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     # At most ``sample`` rows of three numbers, so the chosen rows may be broadcast.
     got = texts.join(F.broadcast(chosen), "key").select("order", "label", "text").mapInArrow(run, "order long, label int, x array<double>").toArrow()
     table = sorted(zip(got.column("order").to_pylist(), got.column("label").to_pylist(), got.column("x").to_pylist(), strict=True))
-    x = np.array([row[2] for row in table], dtype=np.float64).reshape(len(table), DIM + 4)
+    x = np.array([row[2] for row in table], dtype=np.float64).reshape(len(table), POOLS * DIM)
     return vectors, fit(x, np.array([row[1] for row in table], dtype=np.int64))
 
 
 def scored(docs: DataFrame, vectors: np.ndarray, network: Network, *, text: str = "text") -> DataFrame:
     """The documents' columns and hushframe_score double."""
     held = docs.sparkSession.sparkContext.broadcast((vectors, network))
-    names = docs.columns
+    names = [x for x in docs.columns if x != "hushframe_score"]
+    inner = docs.select(*(F.col(f"`{x}`").alias(f"hf_c{i}") for i, x in enumerate(names)))
+    body = names.index(text)
 
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, network = held.value
         for batch in batches:
-            texts = as_bytes(batch.column(text))
+            texts = as_bytes(batch.column(body))
             scores = [network.scores(features(texts[part], vectors)) for part in chunks(texts)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores) if scores else np.empty(0))], names=[*names, "hushframe_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores) if scores else np.empty(0))], names=[*batch.schema.names, "hushframe_score"])
 
-    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", hushframe_score double")
+    return inner.mapInArrow(run, T.StructType([*inner.schema.fields, T.StructField("hushframe_score", T.DoubleType())])).toDF(*names, "hushframe_score")
 
 
-def good_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def good_documents(docs: DataFrame, labels: DataFrame, *, text: str = "text", **options) -> DataFrame:
     """The documents that score at least KEPT_AT; columns as they were."""
-    out = scored(docs, *learn(docs, labels, **options), text=options.get("text", "text"))
-    return out.where(F.col("hushframe_score") >= KEPT_AT).drop("hushframe_score")
+    inner = {x: f"hf_d{i}" for i, x in enumerate(docs.columns)}
+    out = scored(docs.toDF(*inner.values()), *learn(docs, labels, text=text, **options), text=inner[text])
+    return out.where(F.col("hushframe_score") >= KEPT_AT).select(*inner.values()).toDF(*docs.columns)
 
 
 def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:
+    """Every document's score, and whether its label was held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     vectors, network = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
     score = F.col("hushframe_score")

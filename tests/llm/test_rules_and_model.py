@@ -143,3 +143,28 @@ def test_context_vectors_against_brute_force():
 def test_one_class_only(share):
     net = M.fit(np.zeros((10, 3)), np.full(10, share))
     assert abs(net.scores(np.zeros((1, 3)))[0] - share) < 1e-5
+
+
+def test_pools_against_plain_loops():
+    from hushframe.llm.quality_model import BUCKETS, DIM, KINDS, POOLS, buckets_of, features
+    from hushframe.llm.textbytes import words
+
+    table = np.random.default_rng(1).normal(size=(BUCKETS, DIM)).astype(np.float32)
+    texts = [b"one two two three", b"", b" \n", b"x", "é, é!! b".encode()]
+    got = features(texts, table)
+    assert got.shape == (5, POOLS * DIM) and not got[1].any() and not got[2].any()
+    for row, text in zip(got, texts, strict=True):
+        v = table[buckets_of(words([text], KINDS).hash)].astype(float)
+        if len(v):
+            want = np.concatenate((v.mean(axis=0), v.std(axis=0), (v[:-1] * v[1:]).sum(axis=0) / len(v)))
+            assert np.allclose(row, want, atol=1e-6)
+
+
+def test_quality_of_odd_tables(spark):
+    from hushframe.llm.quality_model import good_documents
+
+    docs = spark.createDataFrame([(i, "some good words here" if i % 2 else "bad bad bad bad", "s", 1.0) for i in range(40)] + [(None, None, None, None), (99, "", "", 0.0)], "doc_id long, text string, `a.b` string, hushframe_score double")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(None, 1), (5, None)], "doc_id long, quality int")
+    out = good_documents(docs, labels)
+    assert out.columns == docs.columns and {r.doc_id for r in out.collect()} >= {i for i in range(40) if i % 2}
+    assert good_documents(docs.limit(0), labels).collect() == [] and good_documents(docs, labels.limit(0)).count() == docs.count()
