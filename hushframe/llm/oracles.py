@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hushframe.llm.quality_rules import BIT, DEFAULT
+from hushframe.llm.quality_rules import BIT, DEFAULT, RULES
 from hushframe.llm.url_filter import OP1_SQL
 
 _SPACED = r"[^\x20\x09-\x0D]+"
@@ -35,6 +35,10 @@ f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND fail_bits & {DEFAULT.mask} = 0 AS kept, fail_bits FROM f
 """
 
+ABLATIONS_SQL = f"WITH f AS ({OP5_SQL}), b AS (SELECT fail_bits & {DEFAULT.mask} AS b FROM f) " + " UNION ALL ".join(
+    f"SELECT '{rule.name}' AS rule, count(*) FILTER (b & {BIT[rule.name]} <> 0) AS rejected, count(*) FILTER (b = {BIT[rule.name]}) AS only, count(*) FILTER (b = 0 OR b = {BIT[rule.name]}) AS kept_without, '{DEFAULT.name}' AS policy, {DEFAULT.version} AS version FROM b" for rule in RULES if rule.name in DEFAULT.rules
+)
+
 _BASE32 = "array_to_string(list_transform(range(8), lambda g: array_to_string(list_transform([15, 10, 5, 0], lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((('0x' || substr(h, CAST(5 * g + 1 AS INT), 5))::BIGINT >> k) & 31 AS INT) + 1, 1)), '')), '')"
 OP7_SQL = f"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
@@ -57,4 +61,4 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated FROM d LEFT JOIN places USING (r) LEFT JOIN items USING (r)
 """
 
-ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op5_quality_rules": OP5_SQL, "op7_warc": OP7_SQL, "op9_decontaminate": OP9_SQL}
+ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op5_quality_rules": OP5_SQL, "quality_ablations": ABLATIONS_SQL, "op7_warc": OP7_SQL, "op9_decontaminate": OP9_SQL}

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hushframe.llm.textbytes import SPACED, as_bytes, byte_class, chunks, mix, per_text, releasing, windows, words
 
@@ -122,19 +123,19 @@ def measure(texts: list[bytes]) -> dict[str, np.ndarray]:
 
 def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: the key, all measurements (long) and fail_bits (long)."""
-    kept = docs.select(F.col(key), F.col(text).alias("text"))
-    schema = f"`{key}` {kept.schema[key].dataType.simpleString()}, " + ", ".join(f"{x} long" for x in MEASURES) + ", fail_bits long"
+    kept = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("t"))
 
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keys = as_bytes(batch.column("text")), batch.column(key)
+            texts, keys = as_bytes(batch.column(1)), batch.column(0)
             for part in chunks(texts):
                 m = {k: v.astype(np.int64) for k, v in measure(texts[part]).items()}
                 bits = sum((rule.fails(m).astype(np.int64) << i for i, rule in enumerate(RULES)), np.zeros(part.stop - part.start, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([keys.slice(part.start, part.stop - part.start), *(pa.array(m[x]) for x in MEASURES), pa.array(bits)], names=[key, *MEASURES, "fail_bits"])
+                yield pa.RecordBatch.from_arrays([keys.slice(part.start, part.stop - part.start), *(pa.array(m[x]) for x in MEASURES), pa.array(bits)], names=["k", *MEASURES, "fail_bits"])
 
-    return kept.mapInArrow(run, schema)
+    long = T.StructType.fromDDL(", ".join(f"{x} long" for x in (*MEASURES, "fail_bits"))).fields
+    return kept.mapInArrow(run, T.StructType([kept.schema["k"], *long])).toDF(key, *MEASURES, "fail_bits")
 
 
 def passes(policy: Policy, bits: str = "fail_bits") -> Column:
@@ -155,7 +156,13 @@ def ablations(rows: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     return sums.select(F.inline(pieces)).withColumns({"policy": F.lit(policy.name), "version": F.lit(policy.version)})
 
 
+def quality_ablations(spark, sf_dir: str) -> DataFrame:
+    """What each rule of the default policy rejects of all documents, alone and beside the others."""
+    return ablations(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+
+
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """Every document's measurements, the base verdict and the default policy's."""
     rows = ledger(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     base = ~passes(BASE)
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & passes(DEFAULT)).alias("kept"), "fail_bits")

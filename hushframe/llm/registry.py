@@ -11,6 +11,7 @@ QUERIES = {
     "op3_html_extraction": site_tree.op3_html_extraction,
     "op4_order_minhash": order_minhash.op4_order_minhash,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "quality_ablations": quality_rules.quality_ablations,
     "op6_quality_classifier": quality_model.op6_quality_classifier,
     "op7_warc": warc.op7_warc,
     "op8_sentencepiece": sentencepiece_codec.op8_sentencepiece,
