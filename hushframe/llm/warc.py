@@ -17,8 +17,9 @@ or network mount, HDFS or an object store.
 
 Defined results: a null payload is empty; rows that repeat a page id and payload are
 all responses if that id is the smallest; a null page id counts as the largest, and a
-group with null ids only has responses only; an empty table gives no files and no
-records.
+group with null ids only has responses only; ids may be of any type that has an order
+and is its own text (numbers, strings without line breaks): read() gives them back as
+``key_type``; an empty table gives no files and no records.
 """
 
 from __future__ import annotations
@@ -208,9 +209,9 @@ def write(pages: DataFrame, *, key: str = "page_id", url: str = "url", payload:
     return cut(rows.mapInArrow(run, "uri string, n_records long, n_bytes long"), "warc_files")
 
 
-def read(files: DataFrame) -> DataFrame:
+def read(files: DataFrame, key_type: str = "long") -> DataFrame:
     """The records of all files, read sequentially and verified, one task for each few files; with payloads, see read_records()."""
-    schema = "uri string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+    schema = "uri string, page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,7 +220,7 @@ def read(files: DataFrame) -> DataFrame:
                 seen, rows = 0, []
                 with system.open_input_stream(path, compression=None) as stream:
                     for x in read_records(stream):
-                        rows.append((uri, int(x["x-page-id"]) if "x-page-id" in x else None, x["n_payload"], x["warc-payload-digest"].removeprefix("sha1:"), x["warc-type"], int(x["x-refers-to-page-id"]) if "x-refers-to-page-id" in x else None))
+                        rows.append((uri, x.get("x-page-id"), x["n_payload"], x["warc-payload-digest"].removeprefix("sha1:"), x["warc-type"], x.get("x-refers-to-page-id")))
                         seen += 1
                         if len(rows) == 8192:
                             yield arrow(rows)
@@ -229,13 +230,15 @@ def read(files: DataFrame) -> DataFrame:
                 yield arrow(rows)
 
     def arrow(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], type=t) for i, t in enumerate(kinds)], names=["uri", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
     n = max(1, files.count())
-    return files.select("uri", "n_records").repartitionByRange(n, "uri").mapInArrow(run, schema)
+    rows = files.select("uri", "n_records").repartitionByRange(n, "uri").mapInArrow(run, schema)
+    return rows.withColumns({x: F.col(x).cast(key_type) for x in ("page_id", "refers_to")})
 
 
 def op7_warc(spark, sf_dir: str) -> DataFrame:
+    """Every page's record, as the archives that were written give it back."""
     files = write(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
     return read(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

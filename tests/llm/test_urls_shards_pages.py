@@ -39,28 +39,25 @@ def brute_verdicts(rows):
         fits = [r for r in U.RULES if (host == r.partition("/")[0] or host.endswith("." + r.partition("/")[0])) and path.startswith("/" + r.partition("/")[2])]
         return max(fits, key=len, default=None)
 
-    def symbols(url):
-        return [U.LETTERS.index(c) + 1 if c in U.LETTERS else U.SYMBOLS - 1 for c in (url or "").translate(str.maketrans(U._UPPER, U._LOWER))]
-
-    seen, counts = [], {k: [defaultdict(Counter) for _ in range(3)] for k in ("allow", "block")}
+    seen, counts = [], {k: [defaultdict(Counter) for _ in range(U.ORDER + 1)] for k in ("allow", "block")}
     for page, url in rows:
         host, path = split(url)
         r = rule(host, path)
         aside = zlib.crc32((url or "").encode()) % 5 == 0
-        s = [0, 0, *symbols(url)]
+        s = [U.BEFORE] * U.ORDER + list(url or "")
         seen.append((page, host, path, r, s, aside))
         if r and not aside:
-            for i in range(2, len(s)):
-                for k in range(3):
+            for i in range(U.ORDER, len(s)):
+                for k in range(U.ORDER + 1):
                     counts[U.RULES[r]][k][tuple(s[i - k : i])][s[i]] += 1
 
     def p(kind, k, context, x):
-        low = 1 / U.SYMBOLS if k == 0 else p(kind, k - 1, context[1:], x)
+        low = 1 / U.CODE_POINTS if k == 0 else p(kind, k - 1, context[1:], x)
         c = counts[kind][k].get(context)
         return (c[x] + len(c) * low) / (sum(c.values()) + len(c)) if c else low
 
     def score(s):
-        all_ = [math.log(p("allow", 2, tuple(s[i - 2 : i]), s[i])) - math.log(p("block", 2, tuple(s[i - 2 : i]), s[i])) for i in range(2, len(s))]
+        all_ = [math.log(p("allow", U.ORDER, tuple(s[i - U.ORDER : i]), s[i])) - math.log(p("block", U.ORDER, tuple(s[i - U.ORDER : i]), s[i])) for i in range(U.ORDER, len(s))]
         return sum(all_) / len(all_) if all_ else 0.0
 
     held = {k: [score(s) for _, _, _, r, s, aside in seen if r and aside and U.RULES[r] == k] for k in ("allow", "block")}
@@ -87,6 +84,8 @@ def test_urls_against_brute_force(spark, sf_dir):
 def test_urls_without_labels(spark):
     assert verdicts(spark, [(1, "http://a.b/c")]) == [(1, "a.b", "/c", None, "allow")]
     assert U.judged(spark.createDataFrame([], "page_id long, url string"), U.RULES).collect() == []
+    odd = U.judged(spark.createDataFrame([(1, "http://a.org/es/x", "c", 2.0)], "`page.id` int, url string, key string, hushframe_odds double"), U.RULES)
+    assert odd.columns[:3] == ["page.id", "url", "key"] and odd.first()[:5] == (1, "http://a.org/es/x", "c", "a.org", "/es/x")
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
@@ -279,6 +278,8 @@ def test_warc_round_trip(spark):
         want[(i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "revisit" if again else "response", target if again else None)] += 1
     assert got == want
     assert A.read(A.write(spark.createDataFrame([], PAGES))).collect() == []
+    named = spark.createDataFrame([("b x", "u", "same"), ("a", "u", "same"), (None, "u", "other")], "`page.id` string, url string, html string")
+    assert sorted(((r.page_id or "", r.record_type, r.refers_to) for r in A.read(A.write(named, key="page.id"), "string").collect())) == [("", "response", None), ("a", "response", None), ("b x", "revisit", "a")]
 
 
 def test_small_payloads_stay_responses(spark):
@@ -358,9 +359,3 @@ def test_pipeline_stages(spark, sf_dir):
     assert all(r.n_chars == len(r.text) for r in frames["substrings"].collect())
     last = corpus_pipeline.run(spark, sf_dir).collect()
     assert {r.doc_id for r in last} == ids["decontamination"] and all(r.round_trip and r.parity for r in last)
-
-
-def test_numbers_of_features():
-    from hushframe.llm.quality_model import DIM, features
-
-    assert features([b"", b"a b"], np.zeros((1 << 14, DIM), dtype=np.float32)).shape == (2, DIM + 4)
