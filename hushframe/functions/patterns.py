@@ -88,11 +88,11 @@ NOT_PERSONS = ("Grand Rapids", "True North", "Oak Street", "Blue Lantern")
 NOT_FIRST_NAMES = ("The", "This", "That", "Call", "Send", "Email", "Ping", "Tell", "Ask", "Let", "See", "Note", "Per", "Crm", "And", "But", "For", "Our", "Their", "His", "Her")
 CUES = ("stall", "launch", "go live", "go-live", "rollout", "billing", "invoice", "payment", "refund", "deposit", "competitor", "vendor", "verbal", "handshake", "cold feet", "spooked", "nervous", "skittish", "hesitant", "ghost", "walk away", "cancel", "churn", "dispute", "off the record", "in writing", "procurement", "confidential", "do not", "don't", "quietly", "behind", "contract", "legal", "sign off", "signed", "renew", "retainer", "discount", "shopping", "balk")
 NOTE_OPENERS = ("do not", "don't", "keep ", "never ", "confidential")
-GENERIC_WORDS = tuple(dict.fromkeys("likes work nervous budget launch billing fixed wants wait after private call unhappy invoice ready account issue resolved only agreed verbally mentioned competitor privately commission month daily deadline launches email phone url org person account author project client clients customer company contact notes note status home acme repo repos path plan brief debug raw sentinel reveal print test map original value values private billing clinic dental roofing insurance agency plumbing services solutions media marketing lawn model assistant source tool tools calls correctly huge context window small local followed rubric labeled winner blind eval other".split()))
+GENERIC_WORDS = ("likes", "work", "nervous", "budget", "launch", "billing", "fixed", "wants", "wait", "after", "private", "call", "unhappy", "invoice", "ready", "account", "issue", "resolved", "only", "agreed", "verbally", "mentioned", "competitor", "privately", "commission", "month", "daily", "deadline", "launches", "email", "phone", "url", "org", "person", "author", "project", "client", "clients", "customer", "company", "contact", "notes", "note", "status", "home", "acme", "repo", "repos", "path", "plan", "brief", "debug", "raw", "sentinel", "reveal", "print", "test", "map", "original", "value", "values", "clinic", "dental", "roofing", "insurance", "agency", "plumbing", "services", "solutions", "media", "marketing", "lawn", "model", "assistant", "source", "tool", "tools", "calls", "correctly", "huge", "context", "window", "small", "local", "followed", "rubric", "labeled", "winner", "blind", "eval", "other")
 
 # Numbers, ranks, formats, look-alike letters.
 NUMBER_WORDS = {"zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12, "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17, "eighteen": 18, "nineteen": 19, "twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90, "hundred": 100, "thousand": 1000}
-BUDGET_WORDS = {w: NUMBER_WORDS[w] for w in "one two three four five six seven eight nine twenty thirty forty fifty sixty seventy eighty ninety hundred".split()}
+BUDGET_WORDS = {"one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90, "hundred": 100}
 SENSITIVITY = {"api_key": 100, "secret_token": 95, "email": 90, "phone": 88, "account_id": 86, "file_path": 84, "person_name": 80, "business_name": 78, "model_name": 77, "url": 76, "private_note": 70, "business_relationship": 68, "client_status": 66, "budget": 64, "exact_price": 64, "location": 60, "date": 50}
 FIELD_TYPES = tuple(SENSITIVITY)
 DEFAULT_FORMATS = {"person_name": "Person_{n}", "business_name": "Org_{n}", "email": "Email_{n}", "phone": "Phone_{n}", "url": "Url_{n}", "file_path": "Path_{n}", "account_id": "Account_{n}", "model_name": "Model_{n}"}

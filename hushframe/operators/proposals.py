@@ -34,10 +34,12 @@ Client = Callable[[str], Reply]
 #: What each profile asks for; the reply's form is the same.
 PROFILES = {"strict": "strict_span_v1", "contextual": "contextual_span_v2", "coreference": "coreference_span_v3"}
 _ASK = {
-    "strict": "Identify spans that reveal identity, private business context, client relationship, deal terms, credentials, private paths, account IDs, locations, dates, model or source identity, or sensitive notes.",
-    "contextual": "Identify exact text spans that reveal private context. Look above all for indirect references: roles that stand for clients, pronouns with business context, launch and billing blockers, verbal agreements, competitors.",
-    "coreference": "Identify exact text spans that reveal private context. Follow pronouns, nicknames, initials, roles and phrases that tie a person, account or organisation to private business.",
+    "strict": "List what an outsider must not learn from this note: who and where it is about, what was agreed and paid, how to get in (keys, accounts, files), when, and which tools were used.",
+    "contextual": "List what gives the people behind this note away without naming them: a role that stands for a customer, a remark on a delay, a payment, a promise or a rival.",
+    "coreference": "List every word that points back to someone or something private in this note: pronouns, short names, initials, titles, and turns of phrase that only fit one customer.",
 }
+# Forms of replies.
+VERDICT_FORM = '{"verdicts":[{"i":1,"v":"hide"},{"i":2,"v":"keep"}]}'
 SPAN_FORM = '{"spans":[{"text":"...","field_type":"business_relationship","reason":"contextual client reference","confidence":0.82}]}'
 JUDGE_FORM = '{"semantic_preservation_score":0.0,"missing_semantics":["..."],"overredaction":false,"notes":"safe explanation only"}'
 
@@ -52,8 +54,8 @@ def span_instructions(name: str | None = None) -> str:
 
 
 def vote_prompt(text: Column, listed: Column, triage: bool) -> Column:
-    choice = 'Answer "hide" if it must be hidden, "keep" if it is clearly harmless, "unsure" if you cannot tell.' if triage else 'Answer "hide" if it must be hidden, else "keep".'
-    head = f'You grade candidate phrases of a private note. You do not approve its release; a verifier decides.\nFor each numbered phrase say whether it must be hidden before the note leaves this machine: identity, relationships, deal or billing status, places, dates, credentials, paths, models or sources, sensitive notes.\n{choice}\nAnswer for every number. Return JSON only, in this form:\n{{"verdicts":[{{"i":1,"v":"hide"}},{{"i":2,"v":"keep"}}]}}\n\nNOTE:\n'
+    choice = 'Say "hide" for what an outsider must not read, "keep" for what tells them nothing' + (', "unsure" if it depends on what you do not know.' if triage else ".")
+    head = f'Below are a private note and numbered phrases from it. A later check decides what is released; you only vote.\n{choice}\nGive one vote for each number, as JSON and nothing else:\n{VERDICT_FORM}\n\nNOTE:\n'
     lines = F.transform(listed, lambda c, i: F.concat((i + 1).cast("string"), F.lit(". "), c["text"]))
     return F.concat(F.lit(head), text, F.lit("\n\nCANDIDATES:\n"), F.array_join(lines, "\n"))
 

@@ -21,10 +21,10 @@ from hushframe.operators import evaluate, proposals, resolve, rewrite, training,
 from hushframe.operators.detect import candidates, infer_field_type, person_spans
 from hushframe.plans import notes as N
 from hushframe.plans.blind import blinded
-from hushframe.session import spread
+from hushframe.session import scratch, spread
 from hushframe.sources.cases import generated_cases
 from hushframe.sources.policies import POLICIES, policy_fields
-from hushframe.sources.stores import audit_events
+from hushframe.sources.stores import Stores, audit_events
 
 POLICY = POLICIES["client_strategy"]
 FLAGSHIP = "blind_notes"
@@ -437,24 +437,52 @@ def breaker_mask(spark, sf_dir):
     return evaluate.breaker(results(spark, sf_dir), F.col("failed")).select("line_no", "disabled")
 
 
-@query("SELECT o_orderkey AS judgment_id, o_custkey AS artifact_id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0)")
+def stored(spark: SparkSession, sf_dir: str, judged: bool = False) -> Stores:
+    """Stores with an artifact for each customer, saved on three days; a quarter failed, and a tenth is deleted again."""
+    store = Stores(spark, scratch(spark, "stores"))
+    entry = lambda kind, original, shown: F.struct(F.lit(kind).alias("field_type"), F.col(original).alias("original_value"), F.sha2(original, 256).alias("original_sha256"), F.lit(shown).alias("placeholder"))
+    rows = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("string").alias("artifact_id"),
+        (F.col("c_custkey") % 3).alias("day"),
+        F.lit("Person_1").alias("safe_text"),
+        F.struct((F.col("c_custkey") % 4 != 0).alias("passed")).alias("verification"),
+        F.when(F.col("c_custkey") % 4 != 0, "passed").otherwise("failed").alias("verification_status"),
+        F.when(F.col("c_custkey") % 2 == 0, F.array(entry("person_name", "c_name", "Person_1"), entry("business_name", "c_mktsegment", "Org_1"))).otherwise(F.array(entry("person_name", "c_name", "Person_1"))).alias("reveal_entries"),
+        (F.col("c_custkey") % 10 == 0).alias("gone"),
+    )
+    for day in range(3):
+        store.save(rows.where(F.col("day") == day), f"2026-01-0{day + 1}T00:00:00+00:00")
+    store.delete(rows.where("gone"), "2026-01-09T00:00:00+00:00")
+    if judged:
+        store.submit_judgments(table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("judgment_id"), F.col("o_custkey").cast("string").alias("artifact_id"), F.col("o_orderpriority").alias("judgment_text")), "2026-01-10T00:00:00+00:00")
+    return store
+
+
+_GATE = "SELECT o_orderkey::VARCHAR AS judgment_id, o_custkey::VARCHAR AS artifact_id, o_custkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 4 <> 0 AND c_custkey % 10 <> 0)"
+
+
+@query(f"SELECT judgment_id, artifact_id FROM ({_GATE})")
 def judgment_gate(spark, sf_dir):
-    """Judgments of artifacts that passed only."""
-    passed = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("artifact_id"))
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("judgment_id"), F.col("o_custkey").alias("artifact_id")).join(passed, "artifact_id", "left_semi")
+    """Judgments of artifacts that passed and are there."""
+    return stored(spark, sf_dir, judged=True).judgments().select("judgment_id", "artifact_id")
 
 
-@query("SELECT o_orderkey AS judgment_id, o_custkey AS artifact_id, n AS placeholder_count, kinds FROM orders JOIN (SELECT l_suppkey AS a, count(*) AS n, array_to_string(list_sort(list_distinct(list(l_returnflag))), ',') AS kinds FROM lineitem GROUP BY 1) ON a = o_custkey")
+@query(f"SELECT judgment_id, artifact_id, CASE WHEN o_custkey % 2 = 0 THEN 2 ELSE 1 END::BIGINT AS placeholder_count, CASE WHEN o_custkey % 2 = 0 THEN 'business_name,person_name' ELSE 'person_name' END AS kinds FROM ({_GATE})")
 def reveal_report(spark, sf_dir):
-    """A judgment with counts and kinds of its artifact's entries, never their values."""
-    entries = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("artifact_id")).agg(F.count("*").alias("placeholder_count"), F.array_join(F.array_sort(F.collect_set("l_returnflag")), ",").alias("kinds"))
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("judgment_id"), F.col("o_custkey").alias("artifact_id")).join(entries, "artifact_id")
+    """Every judgment with counts and kinds of its artifact's entries, never their values."""
+    return stored(spark, sf_dir, judged=True).reports().select("judgment_id", "artifact_id", "placeholder_count", F.array_join("field_types", ",").alias("kinds"))
 
 
-@query("SELECT c_custkey, c_name FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20")
+@query("SELECT c_custkey::VARCHAR AS artifact_id, CASE WHEN c_custkey % 4 <> 0 THEN 'passed' ELSE 'failed' END AS verification_status FROM customer WHERE c_custkey % 10 <> 0 ORDER BY c_custkey % 3 DESC, 1 LIMIT 20")
 def recent_artifacts(spark, sf_dir):
-    """The last n by a time, as listings show them; the limit is the feature."""
-    return table(spark, sf_dir, "customer").orderBy(F.desc("c_acctbal"), "c_custkey").limit(20).select("c_custkey", "c_name")
+    """The last artifacts that were saved, as listings show them; the limit is the feature."""
+    return stored(spark, sf_dir).recent(20).select("artifact_id", "verification_status")
+
+
+@query("SELECT c_custkey::VARCHAR AS artifact_id, 'person_name' AS field_type, sha256(c_name) AS original_sha256 FROM customer WHERE c_custkey % 4 <> 0 AND c_custkey % 10 <> 0 UNION ALL SELECT c_custkey::VARCHAR, 'business_name', sha256(c_mktsegment) FROM customer WHERE c_custkey % 4 <> 0 AND c_custkey % 10 <> 0 AND c_custkey % 2 = 0")
+def stored_entries(spark, sf_dir):
+    """The reveal entries that are left after a deletion."""
+    return stored(spark, sf_dir).entries().select("artifact_id", "field_type", "original_sha256")
 
 
 @query(f"WITH {N.NOTES} SELECT note_id, CAST(len(list_filter([person, org, 'absent', person], x -> contains(raw, x))) - 1 AS INTEGER) AS n_spans, person AS first FROM notes".replace("x -> ", "lambda x: "))

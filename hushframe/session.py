@@ -6,6 +6,7 @@ import atexit
 import io
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -90,3 +91,19 @@ def spread(df: DataFrame) -> DataFrame:
     if df.isStreaming or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= cores * SMALL:
         return df
     return df.repartition(cores)
+
+
+_scratch: list[str] = []
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share, under spark.checkpoint.dir, or one of our own on one machine."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not on_one_machine(spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if not _scratch:
+            _scratch.append(tempfile.mkdtemp(prefix="hushframe-scratch-"))
+            atexit.register(shutil.rmtree, _scratch[0], ignore_errors=True)
+        top = f"file://{_scratch[0]}"
+    return f"{top.rstrip('/')}/hushframe/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"

@@ -59,9 +59,9 @@ class Stores:
         entries = rows.where("verification.passed").select("artifact_id", (F.col(scope) if scope else F.col("artifact_id")).alias("scope_id"), F.inline("reveal_entries")).withColumn("created_at", F.lit(created_at))
         self._append(entries, "reveal_map", ENTRY)
 
-    def delete(self, artifact_ids: list[str], created_at: str) -> None:
-        """From now on the artifacts and their reveal entries are gone from all reads; saving them again brings them back."""
-        rows = self.spark.createDataFrame([(x,) for x in artifact_ids], "artifact_id string")
+    def delete(self, artifact_ids: list[str] | DataFrame, created_at: str) -> None:
+        """From now on the artifacts (a list, or a table of artifact_id) and their reveal entries are gone from all reads; saving them again brings them back."""
+        rows = self.spark.createDataFrame([(x,) for x in artifact_ids], "artifact_id string") if isinstance(artifact_ids, list) else artifact_ids.select("artifact_id")
         self._append(rows.withColumns({"verification_status": F.lit("deleted"), "created_at": F.lit(created_at)}), "artifacts", ARTIFACT)
 
     def artifacts(self) -> DataFrame:
@@ -76,7 +76,7 @@ class Stores:
         """What placeholders stand for, as the artifact's last saving has it."""
         saved = self.artifacts().where("verification_status = 'passed'").select("artifact_id", "created_at")
         rows = self._read("reveal_map", ENTRY).join(saved, ["artifact_id", "created_at"], "left_semi").dropDuplicates(["artifact_id", "scope_id", "field_type", "original_sha256"])
-        return (rows.where(F.col("artifact_id") == artifact_id) if artifact_id else rows).orderBy("field_type", "placeholder")
+        return rows.where(F.col("artifact_id") == artifact_id).orderBy("field_type", "placeholder") if artifact_id else rows
 
     def judgments(self) -> DataFrame:
         return self._read("judgments", JUDGMENT)
@@ -100,6 +100,17 @@ class Stores:
         self.audit(self.spark.createDataFrame([(artifact_id,)], "artifact_id string"), "submit_judgment", created_at)
         return judgment_id
 
+    def submit_judgments(self, rows: DataFrame, created_at: str) -> None:
+        """Many judgments (judgment_id, artifact_id, judgment_text) at once: those of artifacts that passed are kept, the others are not."""
+        passed = self.artifacts().where("verification_status = 'passed'").select("artifact_id")
+        self._append(rows.join(passed, "artifact_id", "left_semi").withColumn("created_at", F.lit(created_at)), "judgments", JUDGMENT)
+
+    def reports(self) -> DataFrame:
+        """(judgment_id, artifact_id, placeholder_count, field_types) of all judgments: reveal_report()'s counts and kinds, never values."""
+        saved = self.entries().groupBy("artifact_id").agg(F.count("*").alias("placeholder_count"), F.array_sort(F.collect_set("field_type")).alias("field_types"))
+        none = F.array().cast("array<string>")
+        return self.judgments().select("judgment_id", "artifact_id").join(saved, "artifact_id", "left").select("judgment_id", "artifact_id", F.coalesce("placeholder_count", F.lit(0)).alias("placeholder_count"), F.coalesce("field_types", none).alias("field_types"))
+
     def reveal_report(self, artifact_id: str, judgment_id: str, *, local_full: bool = False, print_secrets: bool = False, created_at: str = "") -> dict:
         """What is behind a judgment's placeholders: counts and kinds; hashes with local_full, values only with both."""
         self._artifact(artifact_id)

@@ -27,9 +27,9 @@ def test_against_sql(spark, sf_dir, sql, name):
     assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr) == sorted((tuple(r[i] for i in places) for r in want.fetchall()), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
-def test_runs(spark, sf_dir, name):
-    assert registry.QUERIES[name](spark, sf_dir).count() >= 0
+def test_the_rest_is_held_against_python():
+    """Queries without SQL: tests/test_brute.py has them all."""
+    assert set(registry.QUERIES) - set(registry.ORACLE_SQL) == {"candidate_top14", "blind_documents", "eval_suite", "eval_suite_fixture_off", "corpus_cases"}
 
 
 def test_entry(spark):
