@@ -9,21 +9,19 @@ the Jaccard similarity of their word shingles.
 Candidates.  Tokens are labelled with their occurrence number in the text, and each
 of ``SKETCHES`` hash functions picks the ``PICKED`` labelled tokens of the smallest
 hash.  Their hashes, in the order of the text, make one sketch.  Texts with a common
-sketch form a bucket.  No bucket is expanded into pairs.  In the first round every
-member is paired with its bucket's head, the member that shares most sketches with
-others (of a text and its edited copies, that is the text or what is next to it).  In
-each later round, buckets whose members are not yet in one class take ``HEADS`` new
-heads at random, and the members of other classes are paired with them; until a round
-finds no more links than ``YIELD`` of its pairs.  These rounds only make classes cheaply:
-in every bucket that then still has members of two classes, all members of different
-classes are compared, in blocks of ``BLOCK`` members that are dealt out like rows.  A
-pair goes on if its token counts allow 0.8 (exact) and if it shares ``SHARED`` sketches:
-linked texts share each one with a probability of 0.64 or more, so that 3 in 100,000
-links at the threshold, and fewer above it, are not candidates.
-
-Nothing else is missed: a pair of different classes that goes on is verified, whatever
-else its buckets hold.  The price is that of a family of texts which are alike but not
-linked (form letters): all of its pairs are verified.
+sketch form a bucket; a pair is plausible if it shares ``SHARED`` sketches and its token
+counts allow 0.8.  Linked texts share each sketch with a probability of 0.64 or more, so
+3 in 100,000 links at the threshold, and fewer above it, are not plausible.
+
+No bucket is expanded into pairs.  First every member is paired with its bucket's head,
+the member that shares most sketches with others (of a text and its edited copies, that
+is the text or what is next to it); this makes most classes cheaply.  The texts of
+buckets that hold members of two classes beside the head are then joined exactly: their
+labelled tokens are ordered by rarity (how many of these texts have them), and two texts
+of which one token in 0.8 aligns must meet at their rarest common token, at a place in
+either that leaves enough tokens behind it.  So texts that share only what is common to
+a whole family (form letters) never meet, and what does meet is verified, in blocks of
+``BLOCK`` members that are dealt out like rows.
 
 Verification.  Common ends are cut off, then a bit-parallel longest common
 subsequence runs over the rest inside the diagonal band that 0.8 leaves; within that
@@ -47,15 +45,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushframe.llm.components import components
-from hushframe.llm.shared import cut, drop
+from hushframe.llm.shared import cut, cut_small, drop, spread_join
 from hushframe.llm.textbytes import LOWER, SPACED, Words, as_bytes, chunks, mix, releasing, windows, words
 
 K = 5
 SKETCHES = 16
 PICKED = 2
 SHARED = 3
-HEADS = 2
-YIELD = 0.01
 #: Members of a block, and pairs compared at once.
 BLOCK = 512
 AT_ONCE = 1 << 17
@@ -228,78 +224,121 @@ def roots_of(docs: DataFrame, nodes: DataFrame, *, text: str = "text") -> DataFr
     slots = F.transform("sketch", lambda x, i: F.xxhash64(i, x))
     member = raw.select("node", F.explode(slots).alias("bucket"))
     shared = member.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("size")).where("first != last").select("bucket", "size")
-    member = cut(member.join(cut(shared, "buckets"), "bucket").distinct(), "members")
-    known = cut(member.groupBy("node").agg(F.sum("size").alias("shared")), "shared")
-    table = cut(raw.join(known, "node", "left_semi").distinct(), "signatures")
-    drop(raw)
+    shared = cut_small(shared, "buckets")
+    everyone = cut_small(spread_join(member, shared, "bucket", "size").distinct(), "members")
+    known = cut_small(everyone.groupBy("node").agg(F.sum("size").alias("shared")), "shared")
+    table = cut_small(raw.join(known, "node", "left_semi").distinct(), "signatures")
     # Of equal counts, a hash decides.
     order = F.shiftleft("shared", 20) + F.pmod(F.xxhash64("node"), F.lit(1 << 20))
-    heads = cut(member.join(known, "node").groupBy("bucket").agg(F.max_by("node", order).alias("head")), "heads")
-    member = member.select("node", "bucket")
-    paired = member.join(heads, "bucket").where("node != head").select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
-    pairs = cut(plausible(paired, table), "pairs")
-    # Only texts of plausible pairs are moved, now and in the rounds that follow.
-    texts = texts_of(keyed, nodes, pairs)
-    found = cut(verified(pairs, texts), "found")
+    heads = cut_small(everyone.join(known, "node").groupBy("bucket").agg(F.max_by("node", order).alias("head"), F.count("*").alias("size")), "heads")
+    # Of each bucket all but the head; what is paired with it is done.
+    member = cut(spread_join(everyone.select("node", "bucket"), heads, "bucket", "size").where("node != head"), "others")
+    drop(shared, everyone, known, heads)
+    paired = member.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+    pairs = cut_small(plausible(paired, table), "pairs")
+    # Only texts of plausible pairs are moved.
+    texts = texts_of(keyed, nodes, ends(pairs))
+    found = cut_small(verified(pairs, texts), "found")
     drop(texts, pairs)
     roots = components(found)
-    turn = 0
-    while True:
-        known = cut(member.join(roots, "node", "left").select("node", "bucket", F.coalesce("root", "node").alias("root")), "known")
-        # The same order in all buckets, so that texts with many common buckets meet few heads twice over.
-        picks = [F.min_by(c, F.xxhash64("node", F.lit(turn + k))).alias(f"{c}{k}") for k in range(HEADS) for c in ("node", "root")]
-        heads = known.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), *picks).where("lo != hi").drop("lo", "hi")
-        opened = cut(known.join(cut(heads, "heads"), "bucket"), "open")
-        drop(known)
-        turn += HEADS
-        met = F.explode(F.array(*(F.struct(F.col(f"node{k}").alias("head"), F.col(f"root{k}").alias("head_root")) for k in range(HEADS))))
-        paired = opened.select("node", "root", met.alias("h")).where("root != h.head_root")
-        paired = paired.select(F.least("node", "h.head").alias("a"), F.greatest("node", "h.head").alias("b"), F.least("root", "h.head_root").alias("ra"), F.greatest("root", "h.head_root").alias("rb")).distinct()
-        pairs = cut(plausible(paired, table), "pairs")
-        texts = texts_of(keyed, nodes, pairs)
-        found = cut(verified(pairs.select("a", "b"), texts), "found")
-        drop(texts)
-        n_found, n_pairs = found.count(), pairs.count()
-        roots = merged(roots, pairs, found)
-        drop(found, pairs)
-        member = opened.select("node", "bucket")
-        if n_found <= YIELD * n_pairs:
-            break
-    pairs = cut(unlinked(member, roots, table).distinct(), "pairs")
-    texts = texts_of(keyed, nodes, pairs)
-    found = cut(verified(pairs.select("a", "b"), texts), "found")
+    opened = still_open(member.select("node", "bucket"), roots)
+    texts = texts_of(keyed, nodes, opened)
+    tokens_of = labelled_tokens(texts)
+    pairs = cut_small(meeting(prefixes(tokens_of), roots, table).distinct(), "pairs")
     drop(texts)
+    drop(tokens_of, opened)
+    texts = texts_of(keyed, nodes, ends(pairs))
+    found = cut_small(verified(pairs.select("a", "b"), texts), "found")
+    drop(texts)
+    drop(table)
     return merged(roots, pairs, found)
 
 
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+
+
+def still_open(member: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node): the members (node, bucket) of buckets with two classes, each once."""
+    known = cut_small(member.join(roots, "node", "left").select("node", "bucket", F.coalesce("root", "node").alias("root")), "known")
+    heads = known.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo != hi").select("bucket", "size")
+    opened = cut_small(spread_join(known, cut_small(heads, "heads"), "bucket", "size").select("node").distinct(), "open")
+    drop(known)
+    return opened
+
+
 def merged(roots: DataFrame, pairs: DataFrame, found: DataFrame) -> DataFrame:
     """roots (node, root) after the links found (a, b) among the pairs (a, b, ra, rb), whose ra and rb are the ends' roots."""
     joined = components(pairs.join(found, ["a", "b"], "left_semi").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     up = joined.select(F.col("node").alias("root"), F.col("root").alias("top"))
     moved = roots.join(up, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    return cut(moved.union(joined), "roots")
+    return cut_small(moved.union(joined), "roots")
 
 
-def unlinked(member: DataFrame, roots: DataFrame, table: DataFrame, least: float = LEAST, size: int = BLOCK) -> DataFrame:
-    """All plausible pairs (a, b, ra, rb) of members (node, bucket) of one bucket and different classes.
+def labelled_tokens(texts: DataFrame) -> DataFrame:
+    """(node, tokens array<long>): the tokens of a text with their occurrence numbers, so that no two are equal; from (node, text)."""
 
-    A bucket's largest class needs no pairs within itself, so its members meet the others only.  Both are
-    dealt into blocks by hash; two blocks, or one and itself, are a cell, which has at most some 2 * size rows.
+    @releasing
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = as_bytes(batch.column(1))
+            for part in chunks(held):
+                rolled, doc = tokens(words(held[part], SPACED, LOWER))
+                own = mix(rolled ^ mix(occurrences(rolled, doc).astype(np.uint64) + np.uint64(77))).view(np.int64)
+                first = np.searchsorted(doc, np.arange(part.stop - part.start + 1))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, part.stop - part.start), pa.ListArray.from_arrays(pa.array(first, type=pa.int32()), pa.array(own))], names=["node", "tokens"])
+
+    return cut_small(texts.select("node", "text").mapInArrow(run, "node long, tokens array<long>"), "tokens")
+
+
+def prefixes(listed: DataFrame, least: float = LEAST) -> DataFrame:
+    """From (node, tokens): (node, token, reach) for the tokens at which a text can meet an alike one first, rarest first.
+
+    ``reach`` is the number of the text's tokens from this one on.  Texts of n and m tokens
+    with enough in common have (n + m) * least / (1 + least) tokens behind the first of them
+    in either.  Tokens that only one text has are left out.
     """
-    known = cut(member.join(roots, "node", "left").select("node", "bucket", F.coalesce("root", "node").alias("root")), "known")
-    counts = known.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    open_ = counts.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all"), F.count("*").alias("classes")).where("classes > 1")
+    each = listed.select("node", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    counts = cut_small(each.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "token_counts")
+    ranked = spread_join(each, counts, "token", "c", "left").select("node", "n", F.struct(F.coalesce("c", F.lit(1)).alias("c"), "token").alias("t"))
+    lists = ranked.groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("t")).alias("t"))
+    rows = lists.select("node", "n", F.posexplode(F.slice("t", F.lit(1), F.col("n") - F.ceil(least * F.col("n") - 1e-9).cast("int") + 1)).alias("pos", "t"))
+    return rows.where("t.c > 1").select("node", F.col("t.token").alias("token"), (F.col("n") - F.col("pos")).alias("reach"))
+
+
+def meeting(prefix: DataFrame, roots: DataFrame, table: DataFrame, least: float = LEAST, size: int = BLOCK) -> DataFrame:
+    """All plausible pairs (a, b, ra, rb) of different classes that meet at a token of prefixes(); repeats included.
+
+    A token's rows are of four sorts.  A pair needs one row behind which there is enough
+    for a partner of the same size (of two others each would want a shorter partner), and
+    the token's largest class needs no pairs within itself.  Every sort is dealt into
+    blocks by hash; two blocks that must meet, or one and itself, are a cell of at most
+    some 2 * size rows.
+    """
+    known = prefix.join(roots, "node", "left").join(table.select("node", "n", "sketch"), "node")
+    known = known.select("node", "token", "reach", "n", "sketch", F.coalesce("root", "node").alias("root"), (F.col("reach") * (1 + least) / least + 1e-6 >= 2 * F.col("n")).alias("wide"))
+    known = cut_small(known, "prefixes")
+    counts = known.groupBy("token", "root").agg(F.count_if("wide").alias("w"), F.count_if(~F.col("wide")).alias("s"))
+    most = F.struct((F.col("w") + F.col("s")).alias("n"), "w", "s", "root")
+    groups = counts.groupBy("token").agg(F.max(most).alias("m"), F.sum("w").alias("w"), F.sum("s").alias("s"), F.count("*").alias("classes")).where("classes > 1")
     blocks = lambda n: F.ceil(n / size).cast("long")
-    open_ = cut(open_.select("bucket", "main", blocks(F.col("all") - F.col("most")).alias("rest"), blocks(F.col("most")).alias("mains")), "open")
-    rows = known.join(open_, "bucket").join(table.select("node", "n", "sketch"), "node").withColumn("is_main", F.col("root") == F.col("main"))
-    total = F.col("rest") + F.col("mains")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node", F.lit("block")), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("rest"))) + F.when(F.col("is_main"), F.col("rest")).otherwise(0))
-    meets = F.sequence(F.lit(0).cast("long"), F.when(F.col("is_main"), F.col("rest")).otherwise(total) - 1)
-    dealt = rows.select("node", "root", "n", "sketch", "bucket", "own", total.alias("total"), F.explode(meets).alias("other"))
+    # Sorts 0 to 3: wide ones of the other classes, of the main class, then the rest of the same.
+    each = (F.col("w") - F.col("m.w"), F.col("m.w"), F.col("s") - F.col("m.s"), F.col("m.s"))
+    groups = groups.select("token", F.col("m.root").alias("main"), (F.col("w") + F.col("s")).alias("all"), *(blocks(n).alias(f"b{i}") for i, n in enumerate(each)))
+    groups = cut_small(groups.where("b0 > 0 OR b1 > 0 AND b2 > 0"), "groups")
+    rows = spread_join(known, groups, "token", "all")
+    sort = F.when(F.col("wide"), 0).otherwise(2) + (F.col("root") == F.col("main")).cast("int")
+    before = [sum((F.col(f"b{j}") for j in range(i)), F.lit(0).cast("long")) for i in range(5)]
+    of = lambda i: F.when(F.col(f"b{i}") > 0, F.sequence(before[i], before[i + 1] - 1)).otherwise(F.array().cast("array<long>"))
+    rows = rows.withColumn("sort", sort)
+    pick = lambda some: F.when(F.col("sort") == 0, some[0]).when(F.col("sort") == 1, some[1]).when(F.col("sort") == 2, some[2]).otherwise(some[3])
+    own = pick(before[:4]) + F.pmod(F.xxhash64("node", F.lit("block")), pick([F.col(f"b{i}") for i in range(4)]))
+    meets = pick((F.concat(of(0), of(1), of(2), of(3)), F.concat(of(0), of(2)), F.concat(of(0), of(1)), of(0)))
+    dealt = rows.select("node", "root", "n", "reach", "sketch", "token", own.alias("own"), F.explode(meets).alias("other"))
     lo, hi = F.least("own", "other"), F.greatest("own", "other")
     # 0 and 1 are the sides of a cell of two blocks; a block with itself is side 2.
     side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int"))
-    cells = dealt.select(F.xxhash64("bucket", lo * F.col("total") + hi, F.lit("cell")).alias("cell"), side.alias("side"), "node", "root", "n", "sketch")
+    cells = dealt.select(F.xxhash64("token", lo, hi, F.lit("cell")).alias("cell"), side.alias("side"), "node", "root", "n", F.col("reach").cast("long").alias("reach"), "sketch")
     # A clash of cells would only compare more; a pair counts if it is plausible.
     cells = cells.repartition("cell").sortWithinPartitions("cell", "side", "root")
 
@@ -329,10 +368,10 @@ def unlinked(member: DataFrame, roots: DataFrame, table: DataFrame, least: float
 
 
 def plausible_in(batches: list[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """The plausible pairs of different roots in whole cells (cell, side, node, root, n, sketch), sorted by cell, side and root."""
+    """The plausible pairs of different roots in whole cells (cell, side, node, root, n, reach, sketch), sorted by cell, side and root."""
     rows = pa.Table.from_batches(batches).combine_chunks()
-    cell, side, node, root, n = (rows.column(i).to_numpy() for i in range(5))
-    sketch = rows.column(5).combine_chunks().flatten().to_numpy().reshape(-1, SKETCHES)
+    cell, side, node, root, n, reach = (rows.column(i).to_numpy() for i in range(6))
+    sketch = rows.column(6).combine_chunks().flatten().to_numpy().reshape(-1, SKETCHES)
     at = np.arange(len(cell))
     turn = lambda *of: np.concatenate(([True], np.any([x[1:] != x[:-1] for x in of], axis=0)))
 
@@ -349,7 +388,7 @@ def plausible_in(batches: list[pa.RecordBatch], least: float) -> Iterator[pa.Rec
         k = np.arange(low, min(low + AT_ONCE, int(before[-1])))
         x = at[np.searchsorted(before, k, side="right") - 1]
         y = begin[x] + k - before[x]
-        good = (root[x] != root[y]) & (np.minimum(n[x], n[y]) >= least * np.maximum(n[x], n[y]) - 1e-9)
+        good = (root[x] != root[y]) & (np.minimum(reach[x], reach[y]) >= least * (n[x] + n[y]) / (1 + least) - 1e-6)
         x, y = x[good], y[good]
         good = (sketch[x] == sketch[y]).sum(axis=1) >= SHARED
         x, y = x[good], y[good]
@@ -358,42 +397,51 @@ def plausible_in(batches: list[pa.RecordBatch], least: float) -> Iterator[pa.Rec
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["a", "b", "ra", "rb"])
 
 
-def texts_of(keyed: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, text) of the nodes of the pairs, each once.
+def texts_of(keyed: DataFrame, nodes: DataFrame, some: DataFrame) -> DataFrame:
+    """(node, text) of some (node), each once.
 
     Keys are 16 bytes: while there are at most ``BROADCAST_KEYS`` (counted) they go to every
     task and only the texts that are needed move; beyond that both sides are shuffled.
     """
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    needed = cut(nodes.join(ends, "node", "left_semi"), "ends")
+    needed = cut_small(nodes.join(some, "node", "left_semi"), "ends")
     few = needed.count() <= BROADCAST_KEYS
-    return cut(keyed.join(F.broadcast(needed) if few else needed.hint("merge"), "key").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    texts = cut(keyed.join(F.broadcast(needed) if few else needed.hint("merge"), "key").groupBy("node").agg(F.first("text").alias("text")), "texts")
+    drop(needed)
+    return texts
 
 
 def classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents' columns, hushframe_class (its smallest key) and hushframe_root (the class itself: keys of different texts may be equal)."""
-    names = [F.col(f"`{x}`") for x in docs.columns]
-    nodes = nodes_of(docs, text)
-    roots = roots_of(docs, nodes, text=text)
-    root = cut(nodes.join(roots, "node", "left").select(F.col("key").alias("hushframe_key"), "node", F.coalesce("root", "node").alias("root")), "root_of_text")
-    ids = docs.select(F.col(f"`{key}`").alias("id"), text_key(text).alias("hushframe_key")).join(root, "hushframe_key")
-    least = ids.groupBy("root").agg(F.min("id").alias("hushframe_class"))
-    named = cut(root.join(least, "root").select("hushframe_key", F.col("root").alias("hushframe_root"), "hushframe_class"), "class_of_text")
-    rows = docs.select(*names, text_key(text).alias("hushframe_key"))
-    return rows.join(named, "hushframe_key").select(*names, "hushframe_class", "hushframe_root")
+    """The documents' columns, hushframe_class (its smallest key) and hushframe_root (the class itself: keys of different texts may be equal).
+
+    Columns named like these two are replaced.
+    """
+    names = [x for x in docs.columns if x not in ("hushframe_class", "hushframe_root")]
+    inner = docs.select(*(F.col(f"`{x}`").alias(f"hf_c{i}") for i, x in enumerate(names)))
+    id_, body = (f"hf_c{names.index(x)}" for x in (key, text))
+    nodes = nodes_of(inner, body)
+    roots = roots_of(inner, nodes, text=body)
+    root = cut_small(nodes.join(roots, "node", "left").select(F.col("key").alias("hf_key"), "node", F.coalesce("root", "node").alias("root")), "root_of_text")
+    ids = inner.select(F.col(id_).alias("id"), text_key(body).alias("hf_key")).join(root, "hf_key")
+    least = ids.groupBy("root").agg(F.min("id").alias("class"))
+    named = cut(root.join(least, "root").select("hf_key", F.col("root").alias("hushframe_root"), F.col("class").alias("hushframe_class")), "class_of_text")
+    drop(root)
+    rows = inner.withColumn("hf_key", text_key(body)).join(named, "hf_key")
+    return rows.select(*inner.columns, "hushframe_class", "hushframe_root").toDF(*names, "hushframe_class", "hushframe_root")
 
 
 def one_of_each(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each class: one of the rows with the class's smallest key.
+    """One document of each class, columns as they were: one of the rows with the class's smallest key.
 
     A document with a null key stays only if all keys of its class are null.
     """
-    out = classes(docs, key=key, text=text)
+    inner = {x: f"hf_d{i}" for i, x in enumerate(docs.columns)}
+    out = classes(docs.toDF(*inner.values()), key=inner[key], text=inner[text])
     # A class has as many rows here as rows share its smallest key.
-    heads = out.where(F.col(f"`{key}`").eqNullSafe(F.col("hushframe_class")))
-    return heads.dropDuplicates(["hushframe_root"]).select([F.col(f"`{x}`") for x in docs.columns])
+    heads = out.where(F.col(inner[key]).eqNullSafe(F.col("hushframe_class")))
+    return heads.dropDuplicates(["hushframe_root"]).select(*inner.values()).toDF(*docs.columns)
 
 
 def op4_order_minhash(spark, sf_dir: str) -> DataFrame:
+    """Every document with its class of near-duplicates, and whether it is the one to keep."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return classes(docs).select("doc_id", F.col("hushframe_class").alias("class_id"), (F.col("doc_id") == F.col("hushframe_class")).alias("kept"))

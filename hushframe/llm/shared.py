@@ -75,23 +75,6 @@ def cut_small(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def hold(df: DataFrame) -> DataFrame:
-    """Make a table now and keep it on the executors: for small steps between tables that cut() wrote.
-
-    Its lineage stays, so a part that is lost with an executor is made again; the plan
-    must be one that gives the same rows each time.  Not for loops: plans of plans grow.
-    """
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    df.count()
-    return df
-
-
-def release(*tables: DataFrame) -> None:
-    """Forget tables of hold() that are no longer read."""
-    for table in tables:
-        table.unpersist()
-
-
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by cut() that are no longer read."""
     for table in tables:
@@ -99,15 +82,16 @@ def drop(*tables: DataFrame) -> None:
             delete(table.sparkSession, name)
 
 
-def spread_join(rows: DataFrame, table: DataFrame, key: str, weight: str, how: str = "inner", most: int = HOT_KEYS) -> DataFrame:
+def spread_join(rows: DataFrame, table: DataFrame, key: str, weight: str, how: str = "inner", most: int = HOT_KEYS, total: int | None = None) -> DataFrame:
     """rows joined with a table of one row for each key (a long), of which ``weight`` rows have it.
 
     Keys with more than 1 / ``most`` of all rows, of which there are fewer than ``most``,
     go to every task, and their rows stay where they are; so no task gets more than that
-    share by one key.  The table is read several times: cut() or hold() it before.
+    share by one key.  The table is read several times: cut() it before.
     """
     names = [c for c in table.columns if c != key]
-    total = table.agg(F.sum(weight)).first()[0] or 0
+    if total is None:
+        total = table.agg(F.sum(weight)).first()[0] or 0
     hot = table.where(F.col(weight) > total / most).select(key, F.struct(*names).alias("spread_hot"))
     # Rows whose key is found already are dealt out by all of their columns; that this is some key does not matter.
     apart = F.when(F.col("spread_hot").isNull(), F.col(key)).otherwise(F.xxhash64(*rows.columns))

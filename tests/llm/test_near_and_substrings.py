@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from hushframe.llm import decontaminate as D
 from hushframe.llm import order_minhash as O
@@ -124,20 +125,56 @@ def test_links_inside_a_family_of_form_letters(spark):
 
 
 def test_blocks_compare_all_pairs_of_classes(spark):
-    """Members of one bucket, dealt into many blocks, against plain loops."""
+    """Rows of few tokens, dealt into many blocks, against plain loops."""
     r = random.Random(3)
-    values = [(i, r.choice((100, 110, 130)), [r.randrange(3) for _ in range(O.SKETCHES)]) for i in range(120)]
+    values = [(i, r.choice((100, 110, 120)), [r.randrange(3) for _ in range(O.SKETCHES)]) for i in range(160)]
     table = spark.createDataFrame(values, "node long, n long, sketch array<long>")
-    root = {i: 0 if i < 50 else i - i % 4 for i in range(120)}
+    root = {i: 0 if i < 50 else i - i % 4 for i in range(160)}
     roots = spark.createDataFrame([(i, x) for i, x in root.items() if i != x], "node long, root long")
-    got = O.unlinked(table.selectExpr("node", "1L AS bucket"), roots, table, size=7).collect()
-    want = {(a, b) for a, n, s in values for b, m, t in values if a < b and root[a] != root[b] and min(n, m) >= 0.8 * max(n, m) and sum(x == y for x, y in zip(s, t, strict=True)) >= O.SHARED}
-    assert {(x.a, x.b) for x in got} == want and len(got) == len(want)
+    rows = [(i, t, r.randrange(int(0.8 * n), n + 1)) for i, n, _ in values for t in (1, 2)]
+    got = O.meeting(spark.createDataFrame(rows, "node long, token long, reach int"), roots, table, size=7).distinct().collect()
+    reach = {(i, t): x for i, t, x in rows}
+    want = {(a, b) for a, n, s in values for b, m, t in values if a < b and root[a] != root[b] and sum(x == y for x, y in zip(s, t, strict=True)) >= O.SHARED and any(min(reach[a, k], reach[b, k]) >= 0.8 * (n + m) / 1.8 - 1e-6 for k in (1, 2))}
+    assert {(x.a, x.b) for x in got} == want and len(got) == len(want) > 100
     assert all({x.ra, x.rb} == {root[x.a], root[x.b]} for x in got)
 
 
+def test_alike_texts_meet_at_a_rare_token(spark):
+    """Two token lists with enough in common share a row of prefixes() behind which there is enough, whatever else is in the table."""
+    r = random.Random(11)
+    lists = []
+    for g in range(40):
+        base = [r.randrange(10**9) if r.random() < 0.3 else r.randrange(60) + 10**10 for _ in range(r.randrange(5, 60))]
+        for _ in range(4):
+            lists.append(sorted({x if r.random() < 0.93 else r.randrange(10**9) for x in base}))
+    rows = spark.createDataFrame(list(enumerate(lists)), "node long, tokens array<long>")
+    places = defaultdict(dict)
+    for x in O.prefixes(rows).collect():
+        places[x.node][x.token] = x.reach
+    alike = 0
+    for i, a in enumerate(lists):
+        for j, b in enumerate(lists[:i]):
+            need = 0.8 * (len(a) + len(b)) / 1.8 - 1e-6
+            if len({*a} & {*b}) >= need:
+                alike += 1
+                assert any(min(places[i][t], places[j][t]) >= need for t in places[i].keys() & places[j].keys())
+    assert alike > 50
+
+
+def test_spread_join_is_a_join(spark):
+    from hushframe.llm.shared import cut, spread_join
+
+    rows = spark.range(2000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 7L ELSE id % 50 END AS k")
+    table = cut(rows.where("k < 40").groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("m")), "t")
+    for how in ("inner", "left"):
+        want = sorted(map(tuple, rows.join(table, "k", how).select("id", "k", "n", "m").collect()))
+        got = spread_join(rows, table, "k", "n", how, most=20)
+        assert got.columns == ["id", "k", "n", "m"] and sorted(map(tuple, got.collect())) == want
+    assert spread_join(rows, cut(table.limit(0), "none"), "k", "n").collect() == []
+
+
 def test_near_duplicate_odd_tables(spark):
-    schema = "doc_id long, text string, node string, bucket int, root string"
+    schema = "doc_id long, text string, hushframe_class string, `a.b` int, root string"
     rows = [(1, "a b c d e f", "x", 1, "r")] * 3 + [(None, "a b c d e f", "x", 1, "r"), (None, "zz", None, None, None), (2, "other words are in here", None, None, None), (2, "a b c d e f", "y", 2, "s")]
     docs = spark.createDataFrame(rows, schema)
     out = O.one_of_each(docs)
@@ -228,6 +265,29 @@ def test_substring_brute_force(spark, sf_dir):
         assert [(x.start, x.end) for x in r.hushframe_spans] == want
 
 
+def test_passages_against_plain_search(spark):
+    """Passages of 51 to 90 words put between words of their own, against a plain search of the texts."""
+    r = random.Random(5)
+    passages = [" ".join(prose(700 + i, r.randrange(51, 91))) for i in range(60)]
+    texts = {}
+    for i, p in enumerate(passages):
+        for copy in range(2 + i % 3):
+            texts[len(texts)] = " ".join([*prose(10_000 + 10 * i + copy, r.randrange(5, 80)), p, *prose(20_000 + 10 * i + copy, r.randrange(5, 80))])
+    clean = {len(texts) + i: " ".join(prose(50_000 + i, 120)) for i in range(40)}
+    out = {x.doc_id: x for x in S.dedup(spark.createDataFrame(list((texts | clean).items()), DOCS)).collect()}
+    for i, text in (texts | clean).items():
+        earlier = [p for p in passages if p in text and any(p in texts[j] for j in texts if j < i)]
+        assert bool(out[i].hushframe_spans) == bool(earlier)
+        for a, b in ((x.start, x.end) for x in out[i].hushframe_spans):
+            # Each removed stretch is, word for word, part of a text with a smaller id.
+            piece = text.encode()[a:b].decode()
+            assert any(piece in t for j, t in texts.items() if j < i)
+        for p in earlier:
+            assert p not in out[i].text and len(p.split()) - sum(len(text.encode()[x.start : x.end].split()) for x in out[i].hushframe_spans) <= 20
+        if not earlier:
+            assert out[i].text == text
+
+
 def test_substring_odd_tables(spark):
     same = " ".join(prose(9, 100))
     rows = [(1, same, "a"), (1, same, "b"), (None, same, "c"), (None, None, None), (2, "", "d"), (3, "ü" * 3000, "e")]
@@ -237,6 +297,11 @@ def test_substring_odd_tables(spark):
     got = {r.digest: r.text for r in out.collect()}
     assert got["a"] == same and got["b"] == same and len(got["c"]) < 60 and got[None] is None and got["d"] == "" and got["e"] == "ü" * 3000
     assert S.dedup(docs.limit(0)).collect() == []
+    # Keys of any type, columns with dots, and one named like what is added.
+    named = spark.createDataFrame([("b", same, 1, 7), ("a", same, 2, 8), (None, same, 3, 9)], "`doc.id` string, `a.b` string, hf_order int, hushframe_spans int")
+    out = S.dedup(named, key="doc.id", text="a.b")
+    assert out.columns == ["doc.id", "a.b", "hf_order", "hushframe_spans"]
+    assert {r[0]: r[1] == same for r in out.collect()} == {"a": True, "b": False, None: False}
 
 
 def brute_hits(docs, items, size=13):
@@ -295,6 +360,9 @@ def test_contamination_odd_tables(spark):
     assert D.clean_documents(docs, none).collect() == docs.collect()
     assert D.clean_documents(docs.limit(0), none).collect() == []
     assert D.clean_documents(docs, spark.createDataFrame([(1, "B c")], "item_id long, text string")).collect() == []
+    # One window is enough, and columns named like those that are added stay.
+    wide = spark.createDataFrame([(1, "b c " + "w " * 500, "x", 2), (2, "b d " * 9, "y", 3)], "doc_id long, text string, hushframe_items string, hushframe_n_words int")
+    assert D.clean_documents(wide, spark.createDataFrame([(1, "B c")], "item_id long, text string")).collect() == wide.where("doc_id = 2").collect()
 
 
 def test_word_hashes_tell_words_apart():
