@@ -128,16 +128,18 @@ def test_calls_are_bounded_and_stop(spark, tmp_path):
             f.unlink()
         return n
 
-    out = evaluate.evaluated(rows, CLIENT, client=counting(True), max_cases=3)
-    assert evaluate.totals(out).first().cases_total == 40 and out.where("llm_used").count() == 3 and calls() == 3
-    assert evaluate.evaluated(rows, CLIENT, client=counting(True), max_cases=0).count() == 40 and calls() == 0
-    out = evaluate.evaluated(rows, CLIENT, client=counting(False))
-    assert evaluate.totals(out).first().llm_transport_failures == 1 and calls() <= evaluate.WAVE
-    out = evaluate.evaluated(rows, CLIENT, client=counting(True))
-    assert out.where("llm_used").count() == 40 and calls() == 40
+    asked = lambda df: evaluate.proposed(df, counting(True))
+    out = evaluate.with_replies(rows, asked, 3, False)
+    assert out.count() == 40 and out.where("llm_used").count() == 3 and calls() == 3
+    assert evaluate.with_replies(rows, asked, 0, False).where("llm_used").count() == 0 and calls() == 0
+    assert evaluate.with_replies(rows, asked, None, False).where("llm_used").count() == 40 and calls() == 40
+    failing = lambda df: evaluate.proposed(df, counting(False))
+    out = evaluate.with_replies(rows, failing, None, False)
+    assert out.where("llm_used").count() == 1 and out.agg(F.sum("llm_transport_failures")).first()[0] == 1 and calls() <= evaluate.WAVE
     out = evaluate.totals(evaluate.evaluated(rows, CLIENT, client=counting(False), required=True)).first()
     assert (out.cases_total, out.cases_passed, out.json_or_process_failures) == (40, 0, 40) and calls() == 40
-    judge = evaluate.usefulness(evaluate.evaluated(rows, CLIENT), counting(False), max_cases=30).first()
+    verdicts = rows.selectExpr("line_no", "raw AS safe_text", "expected_semantics", "named_struct('passed', true) AS verification")
+    judge = evaluate.usefulness(verdicts, counting(False), max_cases=30).first()
     assert judge.usefulness_failures == 1 and calls() <= evaluate.WAVE
 
 
