@@ -67,7 +67,7 @@ def folded_form(value: str) -> tuple[str, list[int] | None]:
     return "".join(out), at
 
 
-def normalized_places(text: tuple[str, list[int] | None], needle: str) -> list[tuple[int, int]]:
+def places_in(text: tuple[str, list[int] | None], needle: str) -> list[tuple[int, int]]:
     """Places of the needle in a text that folded_form() gave, overlapping ones too, when both are compared in the common form."""
     where, at = text
     what, _ = folded_form(needle)
@@ -79,11 +79,16 @@ def normalized_places(text: tuple[str, list[int] | None], needle: str) -> list[t
     return found
 
 
+def normalized_places(text: str, needle: str) -> list[tuple[int, int]]:
+    """As places_in(), of one plain text."""
+    return places_in(folded_form(text), needle)
+
+
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))))
 def normalized_places_all(text: pd.Series, needles: pd.Series) -> pd.Series:
     """For each needle of a row, its places in the row's text, which is folded once."""
     rows = []
     for value, some in zip(text, needles, strict=True):
         form = folded_form(value or "")
-        rows.append([[{"start": a, "end": b} for a, b in normalized_places(form, x or "")] for x in (some if some is not None else [])])
+        rows.append([[{"start": a, "end": b} for a, b in places_in(form, x or "")] for x in (some if some is not None else [])])
     return pd.Series(rows)
