@@ -90,10 +90,13 @@ class Chunks:
         self.head = np.flatnonzero(self.doc[:n] == self.doc[ADJACENT - 1 :]) if n else np.empty(0, dtype=np.int64)
         begin, end = w.start[self.first[self.head]], w.end[self.last[self.head + ADJACENT - 1]]
         self.digest = mix(made[0].of(begin, end) ^ (end - begin).astype(np.uint64)).view(np.int64)
-        #: The digest's other half.
-        self.more = RangeHash(w.buf, salt=1).of(begin, end).view(np.int64)
+        self.ranges = begin, end
         self.head_doc = self.doc[self.head]
 
+    def more(self) -> np.ndarray:
+        """The digests' other halves."""
+        return RangeHash(self.words.buf, salt=1).of(*self.ranges).view(np.int64)
+
     def repeated(self, ahead: np.ndarray) -> list[list[tuple[int, int]]]:
         """By text, byte ranges of stretches to remove; ahead: which digests are repeated."""
         w = self.words
@@ -124,7 +127,7 @@ def digests(docs: DataFrame) -> DataFrame:
             for part in chunks(texts):
                 c = Chunks(texts[part])
                 _, some = np.unique(mix(c.digest.view(np.uint64) ^ mix(c.head_doc.astype(np.uint64))), return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c.digest[some]), pa.array(c.more[some]), keys.take(pa.array(c.head_doc[some] + part.start))], names=["digest", "more", "k"])
+                yield pa.RecordBatch.from_arrays([pa.array(c.digest[some]), pa.array(c.more()[some]), keys.take(pa.array(c.head_doc[some] + part.start))], names=["digest", "more", "k"])
 
     return docs.select("k", "text").mapInArrow(run, T.StructType([*T.StructType.fromDDL("digest long, more long").fields, docs.schema["k"]]))
 
