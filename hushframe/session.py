@@ -13,6 +13,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: Rows of an Arrow batch, a tenth of what is usual.
+BATCH_ROWS = 1000
 
 
 def on_one_machine(master: str) -> bool:
@@ -46,6 +48,8 @@ def ship(spark: SparkSession) -> SparkSession:
     The zip lies in the folder that spark.checkpoint.dir names; in a folder of our own
     where that is unset, as on one machine.
     """
+    # Rows of an Arrow batch: a batch of texts is held several times over, by the JVM and by the worker.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return spark
