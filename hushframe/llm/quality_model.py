@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hushframe.llm.shared import release
 from hushframe.llm.textbytes import as_bytes, byte_class, chunks, mix, releasing, words
 
 DIM = 32
@@ -179,6 +180,14 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(f"`{key}`").cast("string")) % 5 == 0, F.lit(False))
 
 
+def ordered(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """x float64[rows, POOLS * DIM] and label int64[rows] of (order, label, x), sorted by all three; no number becomes an object of Python."""
+    order, label = (rows.column(c).combine_chunks().to_numpy() for c in ("order", "label"))
+    x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(len(order), POOLS * DIM)
+    at = np.lexsort((*x.T[::-1], label, order))
+    return x[at], label[at].astype(np.int64)
+
+
 def learn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> tuple[np.ndarray, Network]:
     """Word vectors from all texts, and the network from a bounded sample of labelled rows outside the held-out fold."""
     vectors = word_vectors(docs, text)
@@ -200,9 +209,10 @@ def learn(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
 
     # At most ``sample`` rows of three numbers, so the chosen rows may be broadcast.
     got = texts.join(F.broadcast(chosen), "key").select("order", "label", "text").mapInArrow(run, "order long, label int, x array<double>").toArrow()
-    table = sorted(zip(got.column("order").to_pylist(), got.column("label").to_pylist(), got.column("x").to_pylist(), strict=True))
-    x = np.array([row[2] for row in table], dtype=np.float64).reshape(len(table), POOLS * DIM)
-    return vectors, fit(x, np.array([row[1] for row in table], dtype=np.int64))
+    network = fit(*ordered(got))
+    del got
+    release(docs.sparkSession)
+    return vectors, network
 
 
 def scored(docs: DataFrame, vectors: np.ndarray, network: Network, *, text: str = "text") -> DataFrame:

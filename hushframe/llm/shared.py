@@ -8,10 +8,12 @@ import shutil
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hushframe.llm.textbytes import give_back
 from hushframe.session import on_one_machine
 
 #: Keys that spread_join() may send to every task.
@@ -52,6 +54,27 @@ def clean(spark: SparkSession) -> None:
     delete(spark, own_dir(spark))
 
 
+def release(spark: SparkSession) -> bool:
+    """Give memory that the driver has freed back to the system, by its Python and its JVM.
+
+    Each plan compiles code of its own, and what the JVM's compilers and threads have
+    freed lies outside its heap, where no garbage collection returns it.  False where
+    the JVM has no command for it.
+    """
+    give_back()
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    args = gateway.new_array(jvm.java.lang.Object, 4)
+    args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    try:
+        # By the interface's method: the server's own class may not be called from outside its module.
+        invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+        invoke.invoke(server, args)
+    except Py4JError:
+        return False
+    return True
+
+
 #: Rows of one written file of a table whose size is known.
 FILE_ROWS = 100_000
 
@@ -64,6 +87,7 @@ def cut(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     path = new_path(df.sparkSession, name)
     out = df if rows is None else df.coalesce(rows // FILE_ROWS + 1)
     out.write.parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -202,6 +202,19 @@ def test_tables_in_the_shared_folder(spark):
         spark.read.schema("id long").parquet(three.inputFiles()[0]).count()
 
 
+def test_the_driver_gives_memory_back(spark, monkeypatch):
+    from hushframe.llm import quality_model, shared
+
+    # The JVM of these tests has the command: its freed memory goes back, and Python's.
+    assert shared.release(spark)
+    asked = []
+    monkeypatch.setattr(shared, "release", asked.append)
+    monkeypatch.setattr(quality_model, "release", asked.append)
+    assert shared.cut(spark.range(3), "three").count() == 3 and len(asked) == 1
+    quality_model.learn(spark.createDataFrame([(1, "a b"), (2, "c d")], DOCS), spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int"))
+    assert len(asked) == 2
+
+
 def test_chunks_resist_insertions():
     tokens = prose(3, 2000)
     one = S.Chunks([" ".join(tokens).encode()])

@@ -168,3 +168,27 @@ def test_quality_of_odd_tables(spark):
     out = good_documents(docs, labels)
     assert out.columns == docs.columns and {r.doc_id for r in out.collect()} >= {i for i in range(40) if i % 2}
     assert good_documents(docs.limit(0), labels).collect() == [] and good_documents(docs, labels.limit(0)).count() == docs.count()
+
+
+def test_sample_is_ordered_without_objects():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n, width = 20_000, M.POOLS * M.DIM
+    rng = np.random.default_rng(3)
+    values = rng.integers(-1, 2, (n, width)) / 2
+    order, label = rng.integers(0, 50, n), rng.integers(0, 2, n).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(values.ravel()))
+    table = pa.table({"order": order, "label": label, "x": lists})
+    table = pa.concat_tables([table.slice(0, 7_000), table.slice(7_000)])
+    tracemalloc.start()
+    x, y = M.ordered(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = sorted(zip(order.tolist(), label.tolist(), values.tolist(), strict=True))
+    assert x.tolist() == [w[2] for w in want] and y.tolist() == [w[1] for w in want] and y.dtype == np.int64
+    # One copy, and what sorting takes; as lists of floats the same rows are over 60 MB more.
+    assert peak < 2.5 * values.nbytes
+    x, y = M.ordered(table.slice(0, 0))
+    assert x.shape == (0, width) and y.shape == (0,)
