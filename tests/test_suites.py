@@ -1,6 +1,7 @@
 """Model replies, suites of cases, stores and training examples."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -162,6 +163,15 @@ def test_ranks_of_counted_values(spark):
     assert spark.range(1).select(evaluate.nearest_rank_counted(none, 50)).first()[0] == 0.0
 
 
+def test_many_latencies(spark):
+    """A rank takes one walk over the values: the square of 30,000 would take minutes."""
+    counted = F.array_sort(F.collect_list(F.struct((F.col("id") / 10).alias("v"), F.lit(2).cast("long").alias("n"))))
+    values = spark.range(30_000).agg(counted.alias("c"))
+    began = time.monotonic()
+    assert tuple(values.select(*(evaluate.nearest_rank_counted(F.col("c"), p) for p in (50, 95))).first()) == (1500.0, 2849.9)
+    assert time.monotonic() - began < 20
+
+
 def test_latencies_of_cases(spark):
     out = evaluate.totals(evaluate.evaluated(cases(spark, *[("Bob Calder called.", [], [])] * 5), CLIENT)).first()
     assert 0 < out.p50_latency_ms <= out.p95_latency_ms <= out.max_latency_ms
