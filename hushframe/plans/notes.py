@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hushframe.session import spread
+
 FIRST = ("Bob", "Mary", "Alex", "Nina", "Greg", "Lisa", "Kevin", "Sara")
 LAST = ("Calder", "Jones", "Rivera", "Patel", "Thompson", "Monroe", "Hartwell", "Kimball")
 ORGS = ("Smith Roofing", "Riverbend Dental", "Harbor Insurance", "Midland Lawn Services", "Birch Clinic", "Lantern Media")
@@ -37,15 +39,25 @@ concat('user', {number}, '@example.test') AS email, concat('acct_', substr(md5({
 NOTES = f"notes AS ({notes_sql(duckdb=True)})"
 
 
-def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+def _made(spark: SparkSession, customer: DataFrame) -> DataFrame:
     return spark.sql(notes_sql(duckdb=False).replace("FROM customer)", "FROM {customer})"), customer=customer)
 
 
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What notes are made of; millions of customers are few bytes, and may be one row group."""
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_acctbal")
+
+
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The notes, dealt out to all cores."""
+    return _made(spark, spread(_customers(spark, sf_dir)))
+
+
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The notes as cases, each with its own values as canaries."""
     planted = {"person": "person_name", "org": "business_name", "city": "location", "email": "email", "account": "account_id", "path": "file_path"}
-    return notes(spark, sf_dir).select(
+    # Not dealt out here: blinded() does that.
+    return _made(spark, _customers(spark, sf_dir)).select(
         F.col("note_id").alias("line_no"),
         F.format_string("case_%06d", "note_id").alias("case_id"),
         "raw",
@@ -92,5 +104,5 @@ PLANTED_NOTES = f"planted AS ({planted_sql(duckdb=True)})"
 
 
 def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    customer = spread(_customers(spark, sf_dir))
     return spark.sql(planted_sql(duckdb=False).replace("FROM customer", "FROM {customer}"), customer=customer)
