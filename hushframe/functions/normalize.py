@@ -34,7 +34,8 @@ def _comparable_all(values: pd.Series) -> pd.Series:
 
 def normalized(values: Column, *, ascii_only: bool = False) -> Column:
     """The comparable forms of an array of strings; only arrays that are not all ASCII go through Python."""
-    plain = F.transform(values, lambda x: F.trim(F.regexp_replace(F.lower(x), r"[\s\x1c-\x1f]+", " ")))
+    # White space that is one blank stays as it is.
+    plain = F.transform(values, lambda x: F.trim(F.regexp_replace(F.lower(x), r"[\t\n\x0b\f\r\x1c-\x1f][\s\x1c-\x1f]*| [\s\x1c-\x1f]+", " ")))
     if ascii_only:
         return plain
     simple = F.forall(values, lambda x: F.octet_length(x) == F.char_length(x))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hushframe.functions.normalize import words
 from hushframe.functions.patterns import BUDGET_WORDS, NUMBER, NUMBER_WORDS, RANGE
+from hushframe.functions.steps import let
 
 
 def number(text: Column) -> Column:
@@ -27,14 +28,19 @@ def _spell(tokens: Column, table: dict[str, int], first_only: bool) -> Column:
     values = _values(table)
     start = F.struct(F.lit(-1.0).alias("now"), F.array().cast("array<double>").alias("done"))
 
-    def step(acc: Column, token: Column) -> Column:
-        amount = F.try_element_at(values, token).cast("double")
+    def step(acc: Column, amount: Column) -> Column:
         before = F.greatest(acc["now"], F.lit(0.0))
         grown = F.when(amount.isin(100.0, 1000.0) if 1000 in table.values() else amount == 100.0, F.greatest(before, F.lit(1.0)) * amount).otherwise(before + amount)
         flushed = F.when(acc["now"] >= 0, F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"])
         return F.when(amount.isNull(), F.struct(F.lit(-1.0).alias("now"), flushed.alias("done"))).otherwise(F.struct(grown.alias("now"), acc["done"].alias("done")))
 
-    out = F.aggregate(F.concat(tokens, F.array(F.lit(""))), start, step, lambda acc: acc["done"])
+    def runs(amounts: Column) -> Column:
+        # Most texts have no such word: the fold runs only where there is one.
+        folded = F.aggregate(F.concat(amounts, F.array(F.lit(None).cast("double"))), start, step, lambda acc: acc["done"])
+        return F.when(F.exists(amounts, lambda x: x.isNotNull()), folded).otherwise(F.when(amounts.isNotNull(), F.array().cast("array<double>")))
+
+    # Each word is looked up once.
+    out = let(F.transform(tokens, lambda token: F.try_element_at(values, token).cast("double")), runs)
     return F.slice(out, 1, 1) if first_only else out
 
 

@@ -133,3 +133,8 @@ NEEDS: dict[str, tuple[tuple[str, ...], str | None]] = {
     RELATION_ONE: (("one",), None),
     RELATION_WHOEVER: (("whoever",), None),
 }
+#: Of some patterns, other parts of which any text with a match has one besides.
+NEEDS_TOO: dict[str, tuple[str, ...]] = {
+    RELATION_ROLE: ("the", "our", "that", "this"),
+    RELATION_ONE: ("the",),
+}

@@ -8,14 +8,18 @@ Python runs and supplementary characters count once.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hushframe.functions.patterns import NEEDS
+from hushframe.functions.patterns import NEEDS, NEEDS_TOO
+from hushframe.functions.steps import let
 
 SPAN_TYPE = "struct<start:int,end:int,text:string,field_type:string,detector:string,confidence:double,reason:string>"
 NO_SPANS = f"array<{SPAN_TYPE}>"
+#: A character that no note is written with; where a text has it all the same, places() goes without.
+MARK = "\x01"
 
 
 def no_spans() -> Column:
@@ -27,22 +31,37 @@ def span(start: Column, text: Column, field_type: Column | str, detector: str, c
     return F.struct(start.alias("start"), (start + F.char_length(text)).alias("end"), text.alias("text"), kind.alias("field_type"), F.lit(detector).alias("detector"), F.lit(confidence).alias("confidence"), F.lit(reason).alias("reason"))
 
 
+def is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.char_length(text)
+
+
+def in_ascii(pattern: str) -> str:
+    """The pattern for texts that are all ASCII, where the Unicode meaning of letters, digits, spaces and case only costs time."""
+    return re.sub(r"^\(\?(i?)[uU]+\)", lambda m: "(?i)" if m[1] else "", pattern)
+
+
 def places(text: Column, pattern: Column | str) -> Column:
-    """array<struct<start int, text string>> of all matches, in order; empty for a null text."""
-    regex = F.lit(pattern) if isinstance(pattern, str) else pattern
-    found = F.regexp_extract_all(text, regex, F.lit(0))
-    gaps = F.split(text, regex, -1)
+    """array<struct<start int, text string>> of all matches, in order; empty for a null text. A pattern matches no empty text."""
+    known = isinstance(pattern, str)
+    regex = F.lit(pattern) if known else pattern
+    fast = F.when(is_ascii(text), F.lit(in_ascii(pattern))).otherwise(regex) if known else regex
     kind = "array<struct<start:int,text:string>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+    none = F.array().cast(kind)
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), none.alias("out"))
 
     def step(acc: Column, piece: Column) -> Column:
-        begin = acc["at"] + F.char_length(piece["gap"])
-        match = F.struct(begin.alias("start"), piece["hit"].alias("text"))
-        return F.struct((begin + F.char_length(piece["hit"])).alias("at"), F.concat(acc["out"], F.array(match)).alias("out"))
+        match = F.struct(acc["at"].alias("start"), piece.alias("text"))
+        return F.struct((acc["at"] + F.char_length(piece)).alias("at"), (~acc["hit"]).alias("hit"), F.when(acc["hit"], F.concat(acc["out"], F.array(match))).otherwise(acc["out"]).alias("out"))
 
-    pieces = F.filter(F.zip_with(gaps, found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit"))), lambda p: p["hit"].isNotNull())
+    # One walk over the text puts a mark before and behind every match; between marks, every other piece is a match.
     # Most texts have no match of most patterns: the fold runs only where there is one.
-    return F.when(F.size(found) > 0, F.aggregate(pieces, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(kind))
+    marked = F.regexp_replace(text, fast, F.lit(f"{MARK}$0{MARK}"))
+    folded = lambda pieces: F.aggregate(pieces, start, step, lambda acc: acc["out"])
+    of = lambda m: F.when(F.contains(m, F.lit(MARK)), folded(F.split(m, MARK, -1))).otherwise(none)
+    # A text that has the mark itself is taken apart twice.
+    gaps, found = F.split(text, regex, -1), F.regexp_extract_all(text, regex, F.lit(0))
+    slow = folded(F.flatten(F.zip_with(gaps, found, lambda g, h: F.filter(F.array(g, h), lambda x: x.isNotNull()))))
+    return F.when(F.contains(text, F.lit(MARK)), slow).otherwise(let(marked, of))
 
 
 def pattern_spans(text: Column, pattern: Column | str, field_type: Column | str, reason: str, confidence: float, detector: str = "regex") -> Column:
@@ -52,11 +71,10 @@ def pattern_spans(text: Column, pattern: Column | str, field_type: Column | str,
 def may_match(text: Column, lower: Column, pattern: str) -> Column:
     """Whether a text can have a match of a known pattern, by what is cheap to see; ``lower``: see folded()."""
     parts, quick = NEEDS.get(pattern, ((), None))
-    tests = [F.contains(lower, F.lit(x)) for x in parts] + ([text.rlike(quick)] if quick else [])
-    out = tests[0] if tests else F.lit(True)
-    for test in tests[1:]:
-        out = out | test
-    return out
+    some = lambda tests: reduce(Column.__or__, tests) if tests else F.lit(True)
+    holds = lambda parts: [F.contains(lower, F.lit(x)) for x in parts]
+    first = some(holds(parts) + ([F.rlike(text, F.when(is_ascii(text), F.lit(in_ascii(quick))).otherwise(F.lit(quick)))] if quick else []))
+    return some(holds(NEEDS_TOO[pattern])) & first if pattern in NEEDS_TOO else first
 
 
 def folded(text: Column) -> Column:

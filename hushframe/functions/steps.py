@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,3 +17,8 @@ def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """
     kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
     return df.select(*kept, F.inline(F.array(F.struct(*(value.alias(name) for name, value in columns.items())))))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), where the value is evaluated once however often the body uses it; for use within expressions, where once() cannot go."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
